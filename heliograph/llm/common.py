@@ -61,6 +61,23 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def bound_batches(spark: SparkSession, rows: int = 1_000, size: int = 4 << 20) -> None:
+    """Lower the Arrow batch limits where they are higher: batches of whole texts must fit two Python workers an executor."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.lstrip("-").isdigit() or int(now) <= 0 or int(now) > most:
+            spark.conf.set(key, str(most))
+
+
+def pinned(df: DataFrame, name: str, expression: str, keep: list[str]) -> DataFrame:
+    """`keep` and a column that is computed once a row, however often what follows refers to it.
+
+    The optimizer copies a projection's expression into the filters and lambdas
+    above it; it can't do so across a generator of one row.
+    """
+    return df.selectExpr(*keep, f"explode(array({expression})) AS {name}")
+
+
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read, under fixed names; other columns can't clash."""
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

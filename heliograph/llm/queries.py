@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, quality_rules, simhash_dedup, substring_dedup, token_counts
+from heliograph.llm import byte_bpe, decontamination, quality_rules, simhash_dedup, substring_dedup, token_counts
 from heliograph.llm.common import documents
 
 
@@ -46,11 +46,17 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).drop("cleaned_text")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontamination.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "window_start", "window_words")
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_simhash_dedup": op6_simhash_dedup,
     "op7_quality_rules": op7_quality_rules,
+    "op9_decontamination": op9_decontamination,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_decontamination": decontamination.SQL}
