@@ -201,6 +201,7 @@ def test_line_rules():
     assert fails("Home | About | News | Help") and fails("thnt### ea$$$ of*** to%%%") and fails("THE!! BIG!! SALE!! IS!! ON!!")
     assert fails("Please accept all cookies") and fails("A line of several words.", True)
     assert not fails("A line of several words.") and not fails("Costs rose by 5% in May & June, they said to me at length.")
+    assert fails("it it it it on on on on") and not fails("that that is is not")
     assert not fails("Released under the MIT License.")
 
 
