@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heliograph.llm.common import id_and_text, worker_cache
+from heliograph.llm.common import bound_batches, id_and_text, worker_cache
 
 #: Memory bound of a worker's table of pretokens that it has seen.
 MAX_SEEN = 300_000
@@ -146,6 +146,7 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id
     a row; an empty table gives none.  `keep` names further columns to pass on;
     all others are not read.
     """
+    bound_batches(df.sparkSession)
     base = id_and_text(df, id_col, text_col) if not keep else df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *keep)
     schema = "doc_id long, ids array<int>" + (", char_starts array<long>, char_ends array<long>" if offsets else "")
     schema += "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)

@@ -80,6 +80,7 @@ def pinned(df: DataFrame, name: str, expression: str, keep: list[str]) -> DataFr
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The two columns that the operators read, under fixed names; other columns can't clash."""
+    bound_batches(df.sparkSession)
     return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
