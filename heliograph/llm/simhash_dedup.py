@@ -112,7 +112,7 @@ def _local_links(fps: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarra
     n = len(fps)
     order = np.argsort(ids, kind="stable")
     fps, ids = fps[order], ids[order]
-    labels, block = np.arange(n), max(1, (1 << 21) // max(1, n))
+    labels, block = np.arange(n), max(1, (1 << 19) // max(1, n))
     pairs_i, pairs_j = [], []
     dense = False
     for begin in range(0, n, block):
@@ -122,7 +122,7 @@ def _local_links(fps: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarra
         first = i < j
         pairs_i.append(i[first])
         pairs_j.append(j[first])
-        if sum(map(len, pairs_i)) > 1 << 22:
+        if sum(map(len, pairs_i)) > 1 << 19:
             dense = True
             break
     if not dense:
