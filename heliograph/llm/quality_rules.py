@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import words_of
+from heliograph.llm.common import bound_batches, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -35,6 +35,8 @@ class Rules:
     words_per_bar: int = 6
     #: A line fails as shouting from so many words with ! marks, nearly all of its ASCII letters capitals.
     min_shout_words: int = 5
+    #: A line fails as stutter from so many words when half of them repeat the word before.
+    min_stutter_words: int = 8
     #: A document goes when more than this share of its word characters was in failed lines.
     max_lost_percent: int = 50
 
@@ -56,6 +58,8 @@ def line_fails(line: str, words: list[str], seen: bool, rules: Rules) -> bool:
         upper = len(_UPPER.findall(line))
         if 10 * upper >= 9 * (upper + len(_LOWER.findall(line))):
             return True
+    if len(words) >= rules.min_stutter_words and 2 * sum(a == b for a, b in zip(words, words[1:])) > len(words):
+        return True
     if seen and len(words) >= rules.min_bars:
         return True
     if len(words) <= 12:
@@ -131,6 +135,7 @@ def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     has no words and fails.  Repeated rows and null ids each give a row; no
     column but those named is read.  One pass without a shuffle.
     """
+    bound_batches(df.sparkSession)
     # A column of `keep` comes under a private name, so that it can't clash.
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     kinds = "doc_id long, cleaned_text string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"

@@ -32,7 +32,7 @@ def made():
     words = [f"word{i}" for i in range(400)]
     items = [(i, " ".join(rng.choices(words, k=rng.randint(3, 60)))) for i in range(30)]
     docs = []
-    for i in range(120):
+    for i in range(300):
         text = rng.choices(words, k=rng.randint(0, 80))
         if i % 2:
             part = items[rng.randrange(30)][1].split()
@@ -42,7 +42,7 @@ def made():
             at = rng.randint(0, len(text))
             text[at:at] = part
         docs.append((i, ", ".join(text).upper() if i % 3 else "*** ".join(text)))
-    return docs + [(500, None), (501, ""), (502, "a b c d e " * 30)], items + [(90, None), (91, "a b c d e " * 4)]
+    return docs + [(1500, None), (1501, ""), (1502, "a b c d e " * 30)], items + [(90, None), (91, "a b c d e " * 4)]
 
 
 def test_matches_equal_brute_force(spark, edge_rows):
