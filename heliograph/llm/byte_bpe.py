@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heliograph.llm.common import bound_batches, id_and_text, worker_cache
+from heliograph.llm.common import bound_batches, worker_cache
 
 #: Memory bound of a worker's table of pretokens that it has seen.
 MAX_SEEN = 300_000
@@ -143,13 +143,14 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id
     """doc_id, ids array<int> of every whole text; with `offsets` also char_starts and char_ends.
 
     A null text is empty and has no ids.  Repeated rows and null ids each give
-    a row; an empty table gives none.  `keep` names further columns to pass on;
-    all others are not read.
+    a row; an empty table gives none.  The columns named in `keep` pass on as
+    _keep0, _keep1 and so on; no others are read.
     """
     bound_batches(df.sparkSession)
-    base = id_and_text(df, id_col, text_col) if not keep else df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *keep)
+    own_names = [f"_keep{i}" for i in range(len(keep))]
+    base = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *(df[c].alias(k) for c, k in zip(keep, own_names)))
     schema = "doc_id long, ids array<int>" + (", char_starts array<long>, char_ends array<long>" if offsets else "")
-    schema += "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
+    schema += "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in own_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)
@@ -161,8 +162,8 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id
                 if offsets:
                     spans = [own.offsets(t, ids) for t, ids in zip(texts, found)]
                     columns += [_lists([s for s, _ in spans], pa.int64()), _lists([e for _, e in spans], pa.int64())]
-                names = ["doc_id", "ids", *["char_starts", "char_ends"] * offsets, *keep]
-                yield pa.RecordBatch.from_arrays([*columns, *(batch.column(2 + i) for i in range(len(keep)))], names)
+                names = ["doc_id", "ids", *["char_starts", "char_ends"] * offsets, *own_names]
+                yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names)
 
     return base.mapInArrow(run, schema)
 
@@ -173,11 +174,14 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, kind))
 
 
-def decode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def decode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids, decoded binary: the bytes of the ids joined, so characters split between tokens come together again.
 
     Null ids count as an empty list and give no bytes.  An id outside the table is an error.
+    `keep` names further columns to pass on as they are; they must not be named like the three.
     """
+    base = df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids"), *keep)
+    schema = "doc_id long, ids array<int>, decoded binary" + "".join(f", `{c}` {base.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)
@@ -186,6 +190,6 @@ def decode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id
             flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             valid = lists.is_valid().to_numpy(zero_copy_only=False)
             raw = [own.decode(flat[a:b].tolist()) if ok else b"" for a, b, ok in zip(at[:-1], at[1:], valid)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(raw, pa.binary())], ["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(raw, pa.binary()), *batch.columns[2:]], ["doc_id", "ids", "decoded", *keep])
 
-    return df.select(df[id_col].alias("doc_id"), df[ids_col].alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return base.mapInArrow(run, schema)

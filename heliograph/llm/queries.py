@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, decontamination, lm_scoring, pii, quality_rules, simhash_dedup, substring_dedup, token_counts
+from heliograph.llm import byte_bpe, decontamination, license_scan, lm_scoring, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts
 from heliograph.llm.common import documents
 
 
@@ -15,6 +15,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.with_limit(token_counts.count_tokens(documents(spark, sf_dir), _vocabulary("piece_bpe_32k.model")))
 
@@ -62,7 +66,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "window_start", "window_words")
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_counts": op2_token_counts,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_pii": op4_pii,
@@ -71,5 +80,6 @@ QUERIES = {
     "op7_quality_rules": op7_quality_rules,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_decontamination": op9_decontamination,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {"op9_decontamination": decontamination.SQL}

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import components, id_and_text, materialize, words_of
@@ -201,3 +201,30 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     named = nodes.join(groups, "node", "left").select("fp", F.coalesce("label", "node").alias("component_id"))
     out = prints.join(named, "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+#: Dropped ids that are broadcast at most (8 bytes each); more take a shuffle join.
+BROADCAST_IDS = 2_000_000
+
+
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+    """The row of smallest id of each group of near duplicates, with all its columns.
+
+    Rows that share an id count as near duplicates of each other: the one of
+    smallest text stays.  Rows with a null id are no one's duplicate and stay.
+    """
+    groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, most=most)
+    ids = materialize(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
+
+    def ids_where(condition: str) -> DataFrame:
+        chosen = ids.where(condition).select(F.col("doc_id").alias("_dropped"))
+        return F.broadcast(chosen) if chosen.count() <= BROADCAST_IDS else chosen
+
+    key = df[id_col].cast("long") == F.col("_dropped")
+    kept = df.join(ids_where("doc_id <> component_id"), key, "left_anti")
+    repeated = ids_where("n > 1 AND doc_id = component_id")
+    if repeated.isEmpty():
+        return kept
+    order = Window.partitionBy(F.col(id_col).cast("long")).orderBy(F.col(text_col).asc_nulls_first())
+    one = kept.join(repeated, kept[id_col].cast("long") == F.col("_dropped"), "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    return kept.join(repeated, kept[id_col].cast("long") == F.col("_dropped"), "left_anti").unionByName(one)

@@ -47,11 +47,11 @@ def made():
 
 def test_matches_equal_brute_force(spark, edge_rows):
     docs, items = made()
-    docs = docs + [r for r in edge_rows if r[0] is not None and r[0] != 4]
+    docs = docs + [(2000 + i, t) for i, t in edge_rows if i is not None and i != 4]
     d = spark.createDataFrame([(i, t, 7, 8) for i, t in docs], "doc_id long, text string, item_id int, grams int")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id): r.similarity for r in dc.contaminated(d, b).collect()}
-    want = plain(dict(docs).items(), items)
+    want = plain(docs, items)
     assert len(want) > 30 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
     kept = {r.doc_id for r in dc.decontaminate(d, b).collect()}
