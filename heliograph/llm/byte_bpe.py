@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import DataFrame
 from heliograph.llm.common import bound_batches, worker_cache
 
 #: Memory bound of a worker's table of pretokens that it has seen.
-MAX_SEEN = 300_000
+MAX_SEEN = 200_000
 SEGMENT_CHARS = 1 << 20
 
 
@@ -75,7 +77,7 @@ class Codec:
         import regex
 
         ranks = read_ranks(rank_file)
-        self.model = build_tokenizer(ranks)
+        self.rank_file, self.model = rank_file, None  # decoding needs no model
         self.split = regex.compile(pattern).findall
         self.bytes_of = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
@@ -83,27 +85,27 @@ class Codec:
         self.seen: dict[str, list[int]] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        if len(self.seen) + len(pieces) > MAX_SEEN:
+        """Know the ids of all these pieces; the table is emptied before it would pass its bound."""
+        new = pieces - self.seen.keys()
+        if len(self.seen) + len(new) > MAX_SEEN:
             self.seen.clear()
-        new = [p for p in pieces if p not in self.seen]
-        for piece, got in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False)):
+            new = pieces
+        if not new:
+            return
+        if self.model is None:
+            # Spark runs a worker for each core; the library's own threads would only spin beside them.
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.model = build_tokenizer(read_ranks(self.rank_file))
+        listed = list(new)
+        for piece, got in zip(listed, self.model.encode_batch_fast(listed, add_special_tokens=False)):
             self.seen[piece] = got.ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text; the library sees each distinct pretoken of the batch once."""
         cut = [[piece for _, part in _segments(t) for piece in self.split(part)] for t in texts]
-        self.learn({p for pieces in cut for p in pieces if p not in self.seen} if self.seen else {p for pieces in cut for p in pieces})
-        out = []
-        for pieces in cut:
-            ids: list[int] = []
-            for piece in pieces:
-                got = self.seen.get(piece)
-                if got is None:  # the table was emptied
-                    self.learn({piece})
-                    got = self.seen[piece]
-                ids += got
-            out.append(np.array(ids, np.int32))
-        return out
+        self.learn({p for pieces in cut for p in pieces})
+        known = self.seen
+        return [np.fromiter(chain.from_iterable([known[p] for p in pieces]), np.int32) for pieces in cut]
 
     def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and one past the last character that each token touches; a split character belongs to all its tokens."""
