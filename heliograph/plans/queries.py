@@ -464,11 +464,11 @@ def _(spark, d):
 
 @query("error_recurrence", ERR + """, ch AS (SELECT group_id, min(cursor) + 1000 AS cursor, 'resolved' AS what FROM ids GROUP BY 1), u AS (SELECT group_id, cursor, 'seen' AS what FROM ids UNION ALL SELECT * FROM ch),
 o AS (SELECT *, lag(what) OVER (PARTITION BY group_id ORDER BY cursor, CASE WHEN what = 'seen' THEN 1 ELSE 0 END) AS before FROM u)
-SELECT group_id, CASE WHEN arg_max(what, cursor * 2 + CASE WHEN what = 'seen' THEN 1 ELSE 0 END) = 'seen' THEN 'open' ELSE 'resolved' END AS status, CAST(count(*) FILTER (what = 'seen' AND before = 'resolved') AS BIGINT) AS recurrence_count, max(cursor) FILTER (what = 'seen' AND before = 'resolved') AS recurrence_cursor FROM o GROUP BY group_id""")
+SELECT group_id, CASE WHEN arg_max(what, cursor * 2 + CASE WHEN what = 'seen' THEN 1 ELSE 0 END) = 'seen' THEN 'open' ELSE 'resolved' END AS status, CAST(count(*) FILTER (what = 'seen' AND before = 'resolved') AS BIGINT) AS recurrence_count, coalesce(max(cursor) FILTER (what = 'seen' AND before = 'resolved'), -1) AS recurrence_cursor FROM o GROUP BY group_id""")
 def _(spark, d):
     found = errors.classified(views.logs(spark, d))
     changes = found.groupBy("group_id").agg((F.min("cursor") + 1000).alias("cursor")).withColumn("status", F.lit("resolved"))
-    return errors.recurrence(found, changes)
+    return errors.recurrence(found, changes).withColumn("recurrence_cursor", F.coalesce("recurrence_cursor", F.lit(-1)))
 
 
 @query("alert_condition", G + "SELECT service, bucket, round(avg(value), 6) AS value, avg(value) > 12.5 AS firing FROM gauges WHERE NOT stale GROUP BY ALL")

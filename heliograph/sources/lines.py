@@ -107,7 +107,7 @@ def scraped(lines: DataFrame, column: str = "line", by: str = "scrape") -> DataF
     part = lambda i: F.regexp_extract("_raw", SAMPLE, i)
     pairs = F.regexp_extract_all(part(2), F.lit(r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\[n"\\])*)"'), 0)
     value = lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r'^[^=]*=\s*"', ""), '"$', ""), r"\\\\", "\u0001"), r"\\n", "\n"), r'\\"', '"')
-    labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^\s*([A-Za-z0-9_]+)", 1).alias("key"), F.regexp_replace(value(p), "\u0001", r"\\\\").alias("value"))))
+    labels = F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.regexp_extract(p, r"^\s*([A-Za-z0-9_]+)", 1).alias("key"), F.regexp_replace(value(p), "\u0001", r"\\").alias("value"))))
     number = F.when(F.lower(part(3)).isin("nan", "+inf", "-inf", "inf"), F.lit(None)).otherwise(part(3)).try_cast("double")
     error = F.when(~F.col("_raw").rlike(SAMPLE), "invalid sample").when(number.isNull(), "invalid or non-finite number")
     rest = [c for c in lines.columns if c != column]

@@ -41,8 +41,8 @@ def any_tagged(v: Column) -> Column:
 def attributes(entries: Column, value=any_text) -> Column:
     """A map of attributes; of a repeated key the last value stays, entries without key or value go."""
     some = F.filter(F.coalesce(entries, F.array().cast(_ATTRS)), lambda e: e["key"].isNotNull() & value(e["value"]).isNotNull())
-    last = F.filter(F.transform(some, lambda e, i: F.struct(e.alias("e"), i.alias("i"))), lambda x: ~F.exists(F.transform(some, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"))), lambda y: (y["k"] == x["e"]["key"]) & (y["i"] > x["i"])))
-    return F.map_from_entries(F.transform(last, lambda x: F.struct(x["e"]["key"].alias("key"), value(x["e"]["value"]).alias("value"))))
+    keys = F.array_distinct(F.transform(some, lambda e: e["key"]))
+    return F.map_from_arrays(keys, F.transform(keys, lambda k: value(F.element_at(F.filter(some, lambda e: e["key"] == k), -1)["value"])))
 
 
 def resource(entries: Column) -> Column:
