@@ -80,7 +80,7 @@ def cycles(spans: DataFrame) -> DataFrame:
 
     def by_trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = _cycles(pdf)
-        return pd.DataFrame({"project": [key[0]] * len(found), "trace_id": [key[1]] * len(found), "cycle": found})
+        return pd.DataFrame({"project": [key[0]] * len(found), "trace_id": [key[1]] * len(found), "cycle": found}, dtype=object)
 
     return suspect.groupBy(*KEY).applyInPandas(by_trace, "project string, trace_id string, cycle array<string>")
 
@@ -138,7 +138,7 @@ def critical_path_by_trace(spans: DataFrame) -> DataFrame:
 
     def by_trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         length, path = best_path(list(zip(pdf["span_id"], pdf["parent_id"], pdf["own"])))
-        return pd.DataFrame({"project": [key[0]], "trace_id": [key[1]], "path": [path], "length": [length]})
+        return pd.DataFrame({"project": [key[0]], "trace_id": [key[1]], "path": [path], "length": [int(length)]})
 
     rows = spans.select(*KEY, "span_id", "parent_id", (F.col("stop") - F.col("start")).alias("own"))
     return rows.groupBy(*KEY).applyInPandas(by_trace, "project string, trace_id string, path array<string>, length long")
