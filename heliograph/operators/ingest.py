@@ -152,3 +152,35 @@ def blobs(events: DataFrame, column: str, least: int) -> tuple[DataFrame, DataFr
     out = events.withColumn("blob_ref", F.when(big, F.struct(address.alias("hash"), F.octet_length(raw).cast("long").alias("size"), F.lit("base64").alias("encoding")))).withColumn(column, F.when(~big, F.col(column)))
     table = events.where(big).select(address.alias("hash"), raw.alias("content")).groupBy("hash").agg(F.any_value("content").alias("content"))
     return out, table
+
+
+def govern_by_project(project: Column, attributes: Column, policies: dict[str, dict], default: dict | None = None) -> Column:
+    """Each project's own policy, else the default one; policies are plan-time settings, so no join is needed."""
+    out = govern(attributes, **(default or {}))
+    for name, policy in policies.items():
+        out = F.when(project == name, govern(attributes, **policy)).otherwise(out)
+    return out
+
+
+EVENT_VERSION = 2
+
+
+def decode_events(raw: DataFrame, column: str = "raw", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events from their JSON form: version 2 only; `error` says why a row is none."""
+    doc = F.to_json(F.try_parse_json(F.col(column)))
+    get = lambda *path: json_at(F.col("_doc"), [*path])
+    text = lambda k: F.when(get(k).startswith('"'), json_text(get(k)))
+    from heliograph.sources.lines import nanos
+
+    fields = {k: text(k) for k in ("event_id", "project", "environment", "signal", "severity", "trace_id", "span_id", "request_id", "session_id")}
+    version = get("schema_version")
+    out = raw.select(*keep, doc.alias("_doc")).select(
+        *keep, *(c.alias(k) for k, c in fields.items()), nanos(text("occurred_at")).alias("occurred_ns"), nanos(text("observed_at")).alias("observed_ns"), F.from_json(get("resource"), "map<string,string>").alias("resource"), get("payload").alias("payload"),
+        F.when(F.col("_doc").isNull(), "invalid JSON").when(version.isNull() | ~version.rlike("^[0-9]+$"), "schema_version is missing").when(version != str(EVENT_VERSION), "unsupported schema_version").alias("_first"),
+    )
+    blank = lambda k: F.trim(F.coalesce(F.col(k), F.lit(""))) == ""
+    reason = F.when(F.col("_first").isNotNull(), F.col("_first"))
+    for k in ("event_id", "project", "environment"):
+        reason = reason.when(blank(k), f"{k} is blank")
+    reason = reason.when(~F.coalesce(F.col("signal"), F.lit("")).isin("log", "metric", "span"), "unknown signal").when(F.col("occurred_ns").isNull() | F.col("observed_ns").isNull(), "time is not RFC 3339").when(F.coalesce(F.size("resource"), F.lit(0)) <= 0, "resource is empty").when(F.coalesce(F.col("payload"), F.lit("null")) == "null", "payload is null")
+    return out.withColumn("error", reason).drop("_first")

@@ -78,3 +78,22 @@ def route(rows: DataFrame, epochs: DataFrame) -> DataFrame:
 
 def unused(blobs: DataFrame, refs: DataFrame) -> DataFrame:
     return blobs.join(refs.select("hash").distinct(), "hash", "left_anti")
+
+
+def evict(hot: DataFrame, archived: DataFrame, now_ns: int, days: int = 30) -> DataFrame:
+    """The live table without whole days that are older than `days` and are in the archive in full.
+
+    A day is in the archive in full if both sides count the same events of it.
+    """
+    day = (F.col("occurred_ns") - F.pmod(F.col("occurred_ns"), F.lit(DAY_NS))).alias("_day")
+    here = hot.groupBy(day).agg(F.count("*").alias("_n"))
+    there = archived.groupBy(day).agg(F.count("*").alias("_m"))
+    gone = here.join(there, "_day").where((F.col("_n") == F.col("_m")) & (F.col("_day") + DAY_NS <= now_ns - days * DAY_NS)).select("_day")
+    return hot.withColumn("_day", F.col("occurred_ns") - F.pmod(F.col("occurred_ns"), F.lit(DAY_NS))).join(gone, "_day", "left_anti").drop("_day")
+
+
+def rebuilt_differs(live: DataFrame, rebuilt: DataFrame, value: Column, by: list[str]) -> DataFrame:
+    """Keys whose rows differ between a live view and its rebuild, by set digests."""
+    a, b = (set_digest(x, value, by) for x in (live, rebuilt))
+    b = b.select(*by, F.col("digest").alias("rebuilt"), F.col("n").alias("rebuilt_n"))
+    return a.join(b, by, "full").where(~F.col("digest").eqNullSafe(F.col("rebuilt")) | ~F.col("n").eqNullSafe(F.col("rebuilt_n")))

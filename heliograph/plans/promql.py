@@ -507,3 +507,19 @@ def normalized_labels(labels: Column) -> Column:
     renamed = F.transform_keys(labels, lambda k, _: F.regexp_replace(k, "[^A-Za-z0-9_:]", "_"))
     names = F.transform(F.map_keys(labels), lambda k: F.regexp_replace(k, "[^A-Za-z0-9_:]", "_"))
     return F.when(F.size(F.array_distinct(names)) == F.size(names), renamed).otherwise(F.raise_error(F.lit("label names collide")).cast("map<string,string>"))
+
+
+def label_set(name: Column, resource: Column, attributes: Column) -> Column:
+    """Labels of a series in the small dialect: name, resource without the SDK's name, attributes on top; dots stay."""
+    infra = F.map_filter(resource, lambda k, _: (k != "telemetry.sdk.name") & ~F.array_contains(F.map_keys(attributes), k) & (k != "__name__"))
+    own = F.map_filter(attributes, lambda k, _: k != "__name__")
+    return F.map_concat(F.create_map(F.lit("__name__"), F.coalesce(F.try_element_at(attributes, F.lit("__name__")), name)), infra, own)
+
+
+def merged_series(points: DataFrame) -> DataFrame:
+    """Points once for each (name, labels, t): what several selectors load twice goes, different values at a time are an error."""
+    keyed = points if "key" in points.columns else points.withColumn("key", identity(F.col("labels")))
+    rest = F.struct("value", "stale")
+    per = keyed.groupBy("name", "key", "t").agg(F.any_value("labels").alias("labels"), F.min("cursor").alias("cursor"), F.min(rest).alias("low"), F.max(rest).alias("high"))
+    clash = F.raise_error(F.lit("metric series conflict at a time")).cast("double")
+    return per.select("name", "key", "labels", "t", "cursor", F.when(F.col("low") == F.col("high"), F.col("low.value")).otherwise(clash).alias("value"), F.col("low.stale").alias("stale"))

@@ -362,3 +362,57 @@ def answer(store: Store, request: dict, jobs: Jobs) -> Response | dict:
     if mode == "async" or (mode == "auto" and request.get("limit", 100) > ASYNC_OVER):
         return jobs.submit(lambda: run(store, request))
     return run(store, request)
+
+
+def tail(store: Store, project: str, after: int, *, tree: dict | None = None, limit: int = 100, wait: float = 30.0, poll: float = 0.05) -> list[dict]:
+    """The first non-empty page of matching logs after a cursor, or none once `wait` seconds (30 at most) are over.
+
+    Each look plans the scan anew, so a table that grows is seen to grow.
+    """
+    import time
+
+    end = time.monotonic() + min(max(wait, 0.0), 30.0)
+    keep = F.lit(True) if tree is None else filters.compile_filter(tree, logs.document())
+    while True:
+        found = _rows(logs.select(store.logs, project, after=after).where(keep).orderBy("cursor").limit(limit))
+        if found or time.monotonic() >= end:
+            return found
+        time.sleep(poll)
+
+
+def check_saved_query(project: str, value: dict) -> None:
+    """A saved query is a version-2 request of its own project whose expression can be read."""
+    if value.get("version") != 2 or value.get("project") != project:
+        raise RequestError("a saved query is of version 2 and of its own project")
+    signal = value.get("signal") or {}
+    if signal.get("kind") == "metrics":
+        try:
+            promql.parse(signal.get("expression", ""))
+        except promql.PromError as e:
+            raise RequestError(str(e)) from e
+    elif signal.get("kind") != "logs_count":
+        raise RequestError("unknown signal")
+
+
+def observations(store: Store, project: str, source: dict, now: int) -> dict[str, tuple[dict, object]]:
+    """What a rule sees at `now`: by series text, its labels and an observation; any failure is one `unknown`."""
+    from heliograph.operators.alerts import COMPARE, Seen
+
+    try:
+        if source["kind"] == "logs_count":
+            start = now - source["window_seconds"] * NANO
+            n = logs.count(logs.select(store.logs, project), start, now, source.get("filter")).first()["n"]
+            return {"": ({}, Seen("condition", COMPARE[source["comparison"]](float(n), source["threshold"])))}
+        if source["kind"] != "metrics":
+            raise RequestError("unknown source")
+        request = {"version": 2, "project": project, "signal": {"kind": "metrics", "expression": source["expression"]}}
+        out: dict[str, tuple[dict, object]] = {}
+        for row in run_v2(store, request, now=now).data:
+            value = row["value"] if row["type"] == "scalar" else row["values"][0][1]
+            labels = row.get("labels") or {}
+            finite = value is not None and value == value and abs(value) != float("inf")
+            seen = Seen("condition", COMPARE[source["comparison"]](value, source["threshold"])) if finite else Seen("unknown", reason="value is not finite")
+            out[json.dumps(labels, sort_keys=True)] = (labels, seen)
+        return out
+    except Exception as e:  # an alert must see that it does not know
+        return {"": ({}, Seen("unknown", reason=str(e)[:500]))}

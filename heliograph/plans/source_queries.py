@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from heliograph.operators import control, metrics
+from heliograph.functions.values import NANO
+from heliograph.operators import control, ingest, metrics, store
+from heliograph.plans import promql
 from heliograph.plans.queries import L, query
 from heliograph.sources import lines, otlp, remote_write, views
 
@@ -157,3 +159,67 @@ def _(spark, d):
 @query("log_json_decode", L + "SELECT cursor, CAST(json_extract(payload, '$.k') AS BIGINT) AS k FROM logs")
 def _(spark, d):
     return views.logs(spark, d).select("cursor", F.from_json("payload", "k BIGINT")["k"].alias("k"))
+
+
+@query("event_decode", """SELECT event_id AS id, CASE WHEN event_id % 5 = 0 THEN 'unsupported schema_version' WHEN event_id % 7 = 0 THEN 'project is blank' WHEN event_id % 11 = 0 THEN 'time is not RFC 3339' WHEN event_id % 13 = 0 THEN 'payload is null' END AS error,
+CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(epoch_us(ts) * 1000 AS VARCHAR) END AS occurred_ns, event_type AS service FROM events""")
+def _(spark, d):
+    i = F.col("event_id")
+    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    doc = F.to_json(F.struct(
+        F.when(i % 5 == 0, 1).otherwise(2).alias("schema_version"), i.cast("string").alias("event_id"), F.when(i % 7 == 0, "").otherwise("demo").alias("project"), F.lit("prod").alias("environment"), F.lit("log").alias("signal"),
+        F.when(i % 11 == 0, "noon").otherwise(stamp).alias("occurred_at"), stamp.alias("observed_at"), F.create_map(F.lit("service.name"), F.col("event_type")).alias("resource"), F.when(i % 13 != 0, F.struct("value")).alias("payload"),
+    ))
+    out = ingest.decode_events(views.table(spark, d, E).select(i.alias("id"), doc.alias("raw")), keep=("id",))
+    return out.select("id", "error", F.col("occurred_ns").cast("string").alias("occurred_ns"), F.try_element_at("resource", F.lit("service.name")).alias("service"))
+
+
+@query("service_log_validate", """SELECT event_id AS id, CASE event_id % 9 WHEN 1 THEN 'unsupported schema' WHEN 2 THEN 'timestamp is not RFC 3339' WHEN 3 THEN 'unsupported severity' WHEN 4 THEN 'event is empty or too long' WHEN 5 THEN 'attributes must be primitive' WHEN 6 THEN 'invalid trace_id' WHEN 7 THEN 'message is too long' WHEN 8 THEN 'invalid request_id' END AS error, 'svc' AS service FROM events""")
+def _(spark, d):
+    k = F.col("event_id") % 9
+    attributes = F.when(k == 5, F.lit('{"user":[1]}')).otherwise(F.concat(F.lit('{"user":'), F.col("user_id").cast("string"), F.lit(',"note":"[x"}')))
+    fields = {
+        "schema": F.when(k == 1, "other").otherwise("log.v1"), "timestamp": F.when(k == 2, "now").otherwise("2024-01-01T00:00:00Z"), "severity": F.when(k == 3, "info").otherwise("INFO"), "event": F.when(k == 4, " ").otherwise(F.col("event_type")),
+        "message": F.when(k == 7, F.repeat(F.lit("x"), 5000)).otherwise("m"), "trace_id": F.when(k == 6, F.repeat(F.lit("0"), 32)).otherwise(F.repeat(F.lit("a"), 32)), "request_id": F.when(k == 8, "").otherwise("r"),
+    }
+    head = F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()), F.struct(F.lit("svc").alias("name"), F.lit("1").alias("version")).alias("service")))
+    line = F.concat(F.regexp_replace(head, r"\}$", ""), F.lit(',"attributes":'), attributes, F.lit("}"))
+    out = lines.service_logs(views.table(spark, d, E).select(F.col("event_id").alias("id"), line.alias("line")), "log.v1", keep=("id",))
+    return out.select("id", "error", "service")
+
+
+@query("govern_by_project", "SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN '[REDACTED]' ELSE left(event_type, 6) END AS kind, left(props, 6) AS props FROM events")
+def _(spark, d):
+    attrs = F.create_map(F.lit("kind"), F.col("event_type"), F.lit("props"), F.col("props"))
+    e = views.table(spark, d, E).select(F.col("event_id").alias("id"), F.when(F.col("user_id") % 2 == 0, "a").otherwise("b").alias("project"), attrs.alias("attrs"))
+    out = e.select("id", ingest.govern_by_project(F.col("project"), F.col("attrs"), {"a": {"denied": ["KIND"], "most": 6}}, {"most": 6}).alias("g"))
+    return out.select("id", F.when(F.try_element_at("g", F.lit("kind")) == "[REDACTED]", "[REDACTED]").otherwise(F.col("g")["kind"]).alias("kind"), F.col("g")["props"].alias("props"))
+
+
+@query("hot_eviction", L + f", d AS (SELECT *, occurred_ns - occurred_ns % {store.DAY_NS} AS day FROM logs) SELECT cursor, service FROM d WHERE NOT (day < {1_705_708_800 * NANO} AND (day // {store.DAY_NS}) % 2 = 0)")
+def _(spark, d):
+    hot = views.logs(spark, d)
+    archived = hot.where(F.expr(f"occurred_ns div {store.DAY_NS}") % 2 == 0)
+    return store.evict(hot, archived, (1_705_708_800 + 30 * 86_400) * NANO).select("cursor", "service")
+
+
+@query("rebuild_compare", L + "SELECT DISTINCT service FROM logs WHERE cursor % 997 = 0")
+def _(spark, d):
+    live = views.logs(spark, d)
+    return store.rebuilt_differs(live, live.where("cursor % 997 <> 0"), F.col("event_id"), ["service"]).select("service")
+
+
+@query("prom_label_set", "SELECT event_id AS id, 'm' AS name, CASE WHEN user_id % 2 = 0 THEN 'attr' ELSE event_type END AS service, CAST(NULL AS VARCHAR) AS sdk FROM events")
+def _(spark, d):
+    resource = F.create_map(F.lit("service.name"), F.col("event_type"), F.lit("telemetry.sdk.name"), F.lit("x"))
+    attributes = F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("service.name"), F.lit("attr"))).otherwise(F.create_map(F.lit("a"), F.lit("b")))
+    labels = promql.label_set(F.lit("m"), resource, attributes)
+    get = lambda k: F.try_element_at("l", F.lit(k))
+    return views.table(spark, d, E).select(F.col("event_id").alias("id"), labels.alias("l")).select("id", get("__name__").alias("name"), get("service.name").alias("service"), get("telemetry.sdk.name").alias("sdk"))
+
+
+@query("series_merge", "SELECT service, bucket, count(*) AS points FROM (SELECT event_type AS service, CAST(user_id % 4 AS VARCHAR) AS bucket FROM events) GROUP BY ALL")
+def _(spark, d):
+    g = views.gauges(spark, d).withColumn("labels", F.create_map(F.lit("service"), F.col("service"), F.lit("bucket"), F.col("bucket"))).select("name", "labels", "t", "cursor", "value", "stale")
+    out = promql.merged_series(g.unionByName(g.where("value > 10")))
+    return out.groupBy(F.col("labels")["service"].alias("service"), F.col("labels")["bucket"].alias("bucket")).agg(F.count("*").alias("points"))

@@ -132,3 +132,40 @@ def scraped_histogram_problem(samples: DataFrame, by: list[str]) -> DataFrame:
     per = fell.groupBy(*by, "family", "key").agg(F.bool_or("fell").alias("fell"), F.max(F.when(~F.col("total"), F.col("le"))).alias("top"), F.max_by(F.when(~F.col("total"), F.col("value")), F.when(~F.col("total"), F.col("le"))).alias("last"), F.max(F.when(F.col("total"), F.col("value"))).alias("count"))
     why = F.when(F.col("fell"), "buckets fall").when(F.coalesce(F.col("top") != float("inf"), F.lit(True)), "no +Inf bucket").when(~F.col("last").eqNullSafe(F.col("count")), "last bucket is not the count")
     return per.withColumn("problem", why).where("problem IS NOT NULL").select(*by, "family", "key", "problem")
+
+
+#: Levels of structured service logs: fixed values.
+SEVERITIES = ("TRACE", "DEBUG", "INFO", "WARN", "ERROR")
+
+
+def service_logs(lines: DataFrame, schema: str, *, column: str = "line", keep: tuple[str, ...] = (), most_attributes: int = 64, most_key: int = 128, most_value: int = 4096, most_event: int = 65_536, most_request_id: int = 128) -> DataFrame:
+    """Structured service logs under strict limits: the fields, and `error` where a rule is broken."""
+    fields = "schema STRING, timestamp STRING, severity STRING, service STRUCT<name: STRING, version: STRING>, event STRING, message STRING, attributes MAP<STRING, STRING>, trace_id STRING, span_id STRING, parent_span_id STRING, trace_flags STRING, request_id STRING"
+    raw = lines.select(*keep, F.from_json(column, fields).alias("x"), F.to_json(F.try_parse_json(F.col(column))).alias("_doc"))
+    x = F.col("x")
+    text = lambda c: F.coalesce(c, F.lit(""))
+    bad_text = lambda c, most: (F.trim(text(c)) == "") | (F.octet_length(text(c)) > most)
+    attributes = F.coalesce(x["attributes"], F.create_map().cast("map<string,string>"))
+    # Values keep their JSON form in the document: nested ones begin with a bracket there.
+    nested = F.exists(F.map_keys(attributes), lambda k: F.coalesce(F.try_element_at(F.from_json(json_at(F.col("_doc"), ["attributes"]), "map<string,string>"), k).rlike(r"^[\[{]"), F.lit(False)) & ~F.contains(F.col("_doc"), F.concat(F.lit('"'), k, F.lit('":"'))))
+    hexes = lambda c, n, zero: c.isNotNull() & (~c.rlike(f"^[0-9a-f]{{{n}}}$") | (F.lit(not zero) & c.rlike("^0+$")))
+    why = (
+        F.when(F.col("_doc").isNull(), "invalid JSON")
+        .when(text(x["schema"]) != schema, "unsupported schema")
+        .when(nanos(text(x["timestamp"])).isNull(), "timestamp is not RFC 3339")
+        .when(~text(x["severity"]).isin(*SEVERITIES), "unsupported severity")
+        .when(bad_text(x["service"]["name"], most_event), "service.name is empty or too long")
+        .when(bad_text(x["service"]["version"], most_event), "service.version is empty or too long")
+        .when(bad_text(x["event"], most_event), "event is empty or too long")
+        .when(F.octet_length(text(x["message"])) > most_value, "message is too long")
+        .when(F.size(attributes) > most_attributes, "too many attributes")
+        .when(F.exists(F.map_keys(attributes), lambda k: (F.trim(k) == "") | (F.octet_length(k) > most_key)), "attribute key is empty or too long")
+        .when(nested, "attributes must be primitive")
+        .when(F.exists(F.map_values(attributes), lambda v: F.octet_length(F.coalesce(v, F.lit(""))) > most_value), "attribute value is too long")
+        .when(hexes(x["trace_id"], 32, False), "invalid trace_id")
+        .when(hexes(x["span_id"], 16, False), "invalid span_id")
+        .when(hexes(x["parent_span_id"], 16, False), "invalid parent_span_id")
+        .when(hexes(x["trace_flags"], 2, True), "invalid trace_flags")
+        .when(x["request_id"].isNotNull() & ((x["request_id"] == "") | (F.octet_length(x["request_id"]) > most_request_id) | x["request_id"].rlike(r"\p{Cntrl}")), "invalid request_id")
+    )
+    return raw.select(*keep, nanos(x["timestamp"]).alias("occurred_ns"), x["severity"].alias("severity"), x["service"]["name"].alias("service"), x["service"]["version"].alias("version"), x["event"].alias("event"), x["message"].alias("message"), attributes.alias("attributes"), x["trace_id"].alias("trace_id"), x["span_id"].alias("span_id"), x["request_id"].alias("request_id"), why.alias("error"))
