@@ -11,10 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from heliograph.llm.common import bound_batches, worker_cache
+from heliograph.llm.common import bound_batches, release_memory, worker_cache
 
 #: Memory bound of a worker's table of pretokens that it has seen.
-MAX_SEEN = 200_000
+MAX_SEEN = 250_000
+SLICE_BYTES = 2 << 20
 SEGMENT_CHARS = 1 << 20
 
 
@@ -141,9 +142,11 @@ def _slices(batch: pa.RecordBatch, column: int, target: int) -> Iterator[pa.Reco
         begin += step
 
 
-def encode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def encode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False, decoded: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, ids array<int> of every whole text; with `offsets` also char_starts and char_ends.
 
+    With `decoded` also what decode() makes of the ids, in the same pass.
+
     A null text is empty and has no ids.  Repeated rows and null ids each give
     a row; an empty table gives none.  The columns named in `keep` pass on as
     _keep0, _keep1 and so on; no others are read.
@@ -151,21 +154,24 @@ def encode(df: DataFrame, rank_file: str, pattern: str, *, id_col: str = "doc_id
     bound_batches(df.sparkSession)
     own_names = [f"_keep{i}" for i in range(len(keep))]
     base = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].cast("string").alias("text"), *(df[c].alias(k) for c, k in zip(keep, own_names)))
-    schema = "doc_id long, ids array<int>" + (", char_starts array<long>, char_ends array<long>" if offsets else "")
+    schema = "doc_id long, ids array<int>" + (", char_starts array<long>, char_ends array<long>" if offsets else "") + (", decoded binary" if decoded else "")
     schema += "".join(f", {k} {base.schema[k].dataType.simpleString()}" for k in own_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_file, pattern)
         for whole in batches:
-            for batch in _slices(whole, 1, 8 << 20):
+            for batch in _slices(whole, 1, SLICE_BYTES):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 found = own.encode(texts)
                 columns = [batch.column(0), _lists(found, pa.int32())]
                 if offsets:
                     spans = [own.offsets(t, ids) for t, ids in zip(texts, found)]
                     columns += [_lists([s for s, _ in spans], pa.int64()), _lists([e for _, e in spans], pa.int64())]
-                names = ["doc_id", "ids", *["char_starts", "char_ends"] * offsets, *own_names]
+                if decoded:
+                    columns.append(pa.array([own.decode(ids.tolist()) for ids in found], pa.binary()))
+                names = ["doc_id", "ids", *["char_starts", "char_ends"] * offsets, *["decoded"] * decoded, *own_names]
                 yield pa.RecordBatch.from_arrays([*columns, *batch.columns[2:]], names)
+        release_memory()
 
     return base.mapInArrow(run, schema)
 

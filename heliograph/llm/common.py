@@ -37,6 +37,19 @@ def worker_cache() -> dict:
     return sys.modules[name].data
 
 
+def release_memory() -> None:
+    """Give freed memory back at a task's end: Spark keeps Python workers, and their memory, for the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; nothing is lost but memory
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 

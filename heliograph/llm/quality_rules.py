@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import bound_batches, words_of
+from heliograph.llm.common import bound_batches, release_memory, words_of
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\r\x0b\x0c"
@@ -148,5 +148,6 @@ def apply_rules(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             rows = [judge(t, rules) for t in batch.column(1).to_pylist()]
             columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[2:]], names)
+        release_memory()
 
     return own.mapInArrow(run, kinds)

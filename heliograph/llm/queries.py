@@ -39,7 +39,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks, pattern = _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    out = byte_bpe.decode(byte_bpe.encode(documents(spark, sf_dir), ranks, pattern), ranks, pattern)
+    out = byte_bpe.encode(documents(spark, sf_dir), ranks, pattern, decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
