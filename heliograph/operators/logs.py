@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from heliograph.operators.filters import Document, compile_filter
@@ -50,9 +50,9 @@ def page(logs: DataFrame, limit: int, after: int | None = None) -> DataFrame:
     if not 1 <= limit <= MAX_PAGE:
         raise ValueError("limit is 1 to 1000")
     some = (logs if after is None else logs.where(F.col("cursor") > after)).orderBy("cursor").limit(limit + 1)
-    # Of at most limit + 1 rows: this count runs over the page, not over the table.
-    counted = some.agg(F.count("*").alias("n"))
-    return some.orderBy("cursor").limit(limit).crossJoin(F.broadcast(counted)).withColumn("has_more", F.col("n") > limit).drop("n")
+    # The windows run over the page's limit + 1 rows at most, never over the table.
+    numbered = some.withColumn("_k", F.row_number().over(Window.orderBy("cursor"))).withColumn("has_more", F.count("*").over(Window.partitionBy()) > limit)
+    return numbered.where(F.col("_k") <= limit).drop("_k")
 
 
 def strict_page(logs: DataFrame, limit: int, tree: dict | None, after: int | None = None) -> DataFrame:

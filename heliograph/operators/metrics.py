@@ -13,6 +13,7 @@ from heliograph.functions.values import NANO, floor_to, max_value, min_value
 ROLLUP_SECONDS = (60, 3600)
 MAX_SERIES = 10_000
 MAX_POINTS = 100_000
+SHARES = 64
 FUNCTIONS = ("raw", "sum", "avg", "min", "max", "count", "rate")
 
 
@@ -25,11 +26,15 @@ def limit_cardinality(points: DataFrame, identity: list[str], scope: list[str],
     """Points with `overflow`: true for series of a scope that are first seen after its first `most`.
 
     First sightings are one row a series before they are ranked; ranks take the
-    series of a scope in the order of their smallest cursor.
+    series of a scope in the order of their smallest cursor.  Shares of a scope
+    are cut to `most` series each before the scope's own ranks are taken, so no
+    task sorts all series of a scope.
     """
     first = points.groupBy(*scope, *identity).agg(F.min("cursor").alias("_first"))
     # Only the series number `most` matters: its first cursor is the scope's threshold.
-    at = first.withColumn("_k", F.row_number().over(Window.partitionBy(*scope).orderBy("_first"))).where(F.col("_k") == most).select(*scope, F.col("_first").alias("_last"))
+    share = Window.partitionBy(*scope, F.pmod(F.xxhash64(*identity), F.lit(SHARES))).orderBy("_first")
+    some = first.withColumn("_k", F.row_number().over(share)).where(F.col("_k") <= most)
+    at = some.withColumn("_k", F.row_number().over(Window.partitionBy(*scope).orderBy("_first"))).where(F.col("_k") == most).select(*scope, F.col("_first").alias("_last"))
     ranked = first.join(at, scope, "left").select(*scope, *identity, F.coalesce(F.col("_first") > F.col("_last"), F.lit(False)).alias("overflow"))
     return points.join(ranked, [*scope, *identity])
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,12 +31,12 @@ def latest(spans: DataFrame) -> DataFrame:
 def with_parents(spans: DataFrame) -> DataFrame:
     """Latest spans with `missing`: the parent is named but absent; `root`: no parent or an absent one.
 
-    A trace's spans meet in one window by trace, so no second shuffle is needed.
+    Parents are looked up by a join: a row never carries its trace's ids.
     """
-    ids = F.collect_set("span_id").over(Window.partitionBy(*KEY))
+    ids = spans.select(*KEY, F.col("span_id").alias("parent_id"), F.lit(True).alias("_there"))
     named = F.coalesce(F.col("parent_id"), F.lit("")) != ""
-    absent = named & ~F.array_contains("_ids", F.coalesce(F.col("parent_id"), F.lit("")))
-    return spans.withColumn("_ids", ids).withColumn("missing", absent).withColumn("root", ~named | absent).drop("_ids")
+    absent = named & F.col("_there").isNull()
+    return spans.join(ids, [*KEY, "parent_id"], "left").withColumn("missing", absent).withColumn("root", ~named | absent).drop("_there")
 
 
 def gaps(spans: DataFrame) -> DataFrame:
@@ -134,14 +136,39 @@ def best_path(spans: list[tuple[str, str | None, int]]) -> tuple[int, list[str]]
 
 
 def critical_path_by_trace(spans: DataFrame) -> DataFrame:
-    """As critical_path for traces of any depth, also with cycles: a function by trace."""
+    """As critical_path for traces of any depth, also with cycles.
 
-    def by_trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        length, path = best_path(list(zip(pdf["span_id"], pdf["parent_id"], pdf["own"])))
-        return pd.DataFrame({"project": [key[0]], "trace_id": [key[1]], "path": [path], "length": [int(length)]})
+    A trace's spans come together by one shuffle and a sort; a function walks
+    the sorted rows and holds one trace at a time.
+    """
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            kinds = (pa.string(), pa.string(), pa.list_(pa.string()), pa.int64())
+            done = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["project", "trace_id", "path", "length"])
+            out.clear()
+            return done
+
+        for batch in batches:
+            for project, trace, span, parent, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if (project, trace) != key:
+                    if held:
+                        length, path = best_path(held)
+                        out.append((*key, path, length))
+                    key, held = (project, trace), []
+                held.append((span, parent, own))
+            if len(out) > 5_000:
+                yield flush()
+        if held:
+            length, path = best_path(held)
+            out.append((*key, path, length))
+        if out:
+            yield flush()
 
     rows = spans.select(*KEY, "span_id", "parent_id", (F.col("stop") - F.col("start")).alias("own"))
-    return rows.groupBy(*KEY).applyInPandas(by_trace, "project string, trace_id string, path array<string>, length long")
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(walk, "project string, trace_id string, path array<string>, length long")
 
 
 def summary(spans: DataFrame) -> DataFrame:
