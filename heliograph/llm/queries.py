@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm import byte_bpe, decontamination, license_scan, lm_scoring, pii, quality_classifier, quality_rules, simhash_dedup, substring_dedup, token_counts
+from heliograph.llm import byte_bpe, decontamination, license_scan, lm_scoring, pii, quality_classifier, quality_rules, simhash_dedup, sql, substring_dedup, token_counts
 from heliograph.llm.common import documents
 
 
@@ -82,4 +82,4 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {"op9_decontamination": decontamination.SQL}
+ORACLE: dict[str, str] = {"op3_substring_dedup": sql.SUBSTRING, "op7_quality_rules": sql.quality_sql(), "op9_decontamination": decontamination.SQL}
