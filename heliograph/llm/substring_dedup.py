@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import id_and_text, words_of, worker_cache
+from heliograph.llm.common import id_and_text, release_memory, words_of, worker_cache
 
 WINDOW, SEED_WORDS = 13, 5
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -65,66 +65,90 @@ def anchors(h: np.ndarray, window: int = WINDOW, seed_words: int = SEED_WORDS):
     return seeds[at[begins]], at[begins], begins, counts, _roll(h, window, _M3)
 
 
+#: Anchors that a task holds for its map-side combine: some 15 MB.
+COMBINE = 200_000
+#: `route` is the seed of rows that go on, and spreads those that are decided.
+_ROWS = "route long, doc_id long, doc_key long, begin int, ahead int, mask int, checks binary"
+
+
+class _Block:
+    """Anchors of several documents, combined before they travel.
+
+    Where runs of windows are the same in several documents of the block, those
+    in any but the smallest are decided at once: the smallest has them all.
+    Only its run goes on to meet other blocks, so a passage that a third of all
+    documents share costs a row for each block, not for each document.
+    """
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held = 0
+
+    def add(self, doc: int, key: int, h: np.ndarray, window: int, seed_words: int) -> None:
+        seed, at, begin, count, check = anchors(h, window, seed_words)
+        n = len(seed)
+        # A run's first and last window hold all its words.
+        same = _mix(_mix(seed * _M1 + check[begin]) * _M2 + check[begin + count - 1] + count.astype(np.uint64))
+        self.parts.append((seed, np.full(n, doc, np.int64), np.full(n, key, np.int64), begin, at - begin, count, same, check >> np.uint64(32)))
+        self.held += n
+
+    def rows(self) -> pa.RecordBatch:
+        seed, doc, key, begin, ahead, count, same, check = (np.concatenate(x) for x in zip(*self.parts))
+        self.parts, self.held = [], 0
+        order = np.lexsort((doc, same))
+        head = np.concatenate(([True], same[order][1:] != same[order][:-1]))
+        least = np.empty(len(doc), np.int64)
+        least[order] = doc[order][np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0))]
+        decided = doc > least
+        mask = np.where(decided, (1 << count) - 1, 0)
+        route = np.where(decided, _mix(doc.view(np.uint64)), seed).view(np.int64)
+        ends = np.concatenate(([0], np.cumsum(np.where(decided, 0, 4 * count)))).astype(np.int32)
+        data = check[np.repeat(~decided, count)].astype("<u4").tobytes()
+        blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
+        longs, ints = (route, doc, key), (begin, ahead, mask)
+        return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), *(pa.array(x.astype(np.int32)) for x in ints), blob], ["route", "doc_id", "doc_key", "begin", "ahead", "mask", "checks"])
+
+
 def _seed_rows(window: int, seed_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        block = _Block()
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            seeds, docs, keys, begins, offsets, checks, lengths = [], [], [], [], [], [], []
-
-            def flush():
-                size = np.concatenate(lengths).astype(np.int64)
-                ends = np.concatenate(([0], np.cumsum(size * 4))).astype(np.int32)
-                data = np.concatenate(checks).astype("<u4").tobytes()
-                blob = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-                arrays = [np.concatenate(x) for x in (seeds, docs, keys, begins, offsets)]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                out = pa.RecordBatch.from_arrays([*(pa.array(a, k) for a, k in zip(arrays, kinds)), blob], ["seed", "doc_id", "doc_key", "begin", "ahead", "checks"])
-                for x in (seeds, docs, keys, begins, offsets, checks, lengths):
-                    x.clear()
-                return out
-
-            held = 0
-            for doc, text in zip(ids, texts):
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if doc is None or len(words) < window:
                     continue
-                h = word_hashes(words)
-                seed, at, begin, count, check = anchors(h, window, seed_words)
-                seeds.append(seed.view(np.int64))
-                docs.append(np.full(len(seed), doc, np.int64))
-                keys.append(np.full(len(seed), xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF, np.int64))
-                begins.append(begin)
-                offsets.append(at - begin)
-                lengths.append(count)
-                checks.append((check >> np.uint64(32)))
-                held += len(seed)
-                if held > 200_000:
-                    yield flush()
-                    held = 0
-            if seeds:
-                yield flush()
+                block.add(doc, xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF, word_hashes(words), window, seed_words)
+                if block.held > COMBINE:
+                    yield block.rows()
+        if block.held:
+            yield block.rows()
+        release_memory()
 
     return run
 
 
 def _extend():
-    """Rows sorted by (seed, doc_id): the first document that shows a window is the smallest that has it.
+    """Rows sorted by (route, doc_id): the first document that shows a window is the smallest that has it.
 
     State is the distinct windows of the seed that a batch breaks off in; rows
     pass through, however many documents share a seed.
     """
+    names = ["doc_id", "doc_key", "begin", "mask"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, first_doc = None, {}  # of the seed at the end of the batch before
-        for batch in batches:
+        for whole in batches:
+            decided = whole.column(5).to_numpy() != 0
+            if decided.any():
+                at = pa.array(np.flatnonzero(decided))
+                yield pa.RecordBatch.from_arrays([whole.column(i).take(at) for i in (1, 2, 3, 5)], names)
+            batch = whole.take(pa.array(np.flatnonzero(~decided)))
             if not batch.num_rows:
                 continue
-            seed = batch.column(0).to_numpy()
-            doc = batch.column(1).to_numpy()
-            ahead = batch.column(4).to_numpy()
-            blob = batch.column(5)
+            seed, doc, ahead = (batch.column(i).to_numpy() for i in (0, 1, 4))
+            blob = batch.column(6)
             ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
             check = np.frombuffer(blob.buffers()[2], "<u4")[ends[0] // 4 : ends[-1] // 4].astype(np.uint64)
             size = np.diff(ends) // 4
@@ -149,7 +173,7 @@ def _extend():
             hit = np.flatnonzero(mask)
             if len(hit):
                 at = pa.array(hit)
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(at), batch.column(2).take(at), batch.column(3).take(at), pa.array(mask[hit], pa.int32())], ["doc_id", "doc_key", "begin", "mask"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in (1, 2, 3)), pa.array(mask[hit], pa.int32())], names)
 
     return run
 
@@ -160,8 +184,8 @@ def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Bit i of the mask stands for the window at word begin + i.  One row for each
     seed whose windows were extended to a match.  One shuffle, by seed.
     """
-    rows = id_and_text(df, id_col, text_col).mapInArrow(_seed_rows(window, seed_words), "seed long, doc_id long, doc_key long, begin int, ahead int, checks binary")
-    return rows.repartition("seed").sortWithinPartitions("seed", "doc_id").mapInArrow(_extend(), "doc_id long, doc_key long, begin int, mask int")
+    rows = id_and_text(df, id_col, text_col).mapInArrow(_seed_rows(window, seed_words), _ROWS)
+    return rows.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(_extend(), "doc_id long, doc_key long, begin int, mask int")
 
 
 def _packed():
