@@ -75,10 +75,14 @@ class Space:
 
     @staticmethod
     def _unit(x: np.ndarray) -> np.ndarray:
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-9)[:, None]
+        return x
 
     def _weigh(self, counts: np.ndarray) -> np.ndarray:
-        return self._unit(np.log1p(counts) * self.idf)
+        """Weighted rows of length 1, in place: the labelled rows' matrix is there once."""
+        np.log1p(counts, out=counts)
+        counts *= self.idf
+        return self._unit(counts)
 
     def scores(self, counts: np.ndarray) -> np.ndarray:
         """Share of label 1 among the nearest labelled vectors, weighted by similarity; exact products with all of them."""
@@ -120,7 +124,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, parts: int = 5, held: int = 0) ->
             counts[i, r["at"]] = r["n"]
             labelled[i] = r["label"]
     order = [seen[doc] for doc in sorted(seen)]  # the fit must not depend on the order of arrival
-    return Space(counts[order], labelled[order])
+    counts, labelled = counts[: len(order)], labelled[: len(order)]
+    # Row swaps in place, cycle by cycle, instead of a second matrix.
+    for start in range(len(order)):
+        at = start
+        while order[at] != start and order[at] >= 0:
+            nxt = order[at]
+            counts[[at, nxt]] = counts[[nxt, at]]
+            labelled[[at, nxt]] = labelled[[nxt, at]]
+            order[at], at = -1, nxt
+        order[at] = -1
+    return Space(counts, labelled)
 
 
 def score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, parts: int = 5, held: int = 0) -> DataFrame:
