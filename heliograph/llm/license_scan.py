@@ -9,6 +9,7 @@ templates below by rule, so the fit is bounded and the same everywhere.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import zlib
@@ -155,6 +156,11 @@ def trained() -> tuple[list[list[float]], float]:
     return weights, min(sorted(strange)[int(CALIBRATION * (len(strange) - 1))], 0.95 * own)
 
 
+def _constant(value: list, kind: str) -> Column:
+    """A table as one literal, which the optimizer folds: not thousands of literal expressions."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, paragraph, family, probability, similarity, confirmed: each paragraph taken for a notice or `unknown`.
 
@@ -172,7 +178,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     at = pinned(pairs, "at", f"array_distinct(transform(concat(words, pairs), g -> cast(crc32(cast(g AS binary)) % {BUCKETS} AS int)))", ["*"])
 
     def logit(k: int) -> Column:
-        table = F.array(*map(F.lit, weights[k][:BUCKETS]))
+        table = _constant(weights[k][:BUCKETS], "array<double>")
         total = F.aggregate("at", F.lit(0.0), lambda acc, i: acc + F.element_at(table, i + 1))
         return (total + weights[k][BUCKETS]) / F.sqrt(F.size("at") + F.lit(1.0))
 
@@ -182,7 +188,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = scored.select("doc_id", "paragraph", "pairs", (F.array_position("x", top) - 1).cast("int").alias("k"), share.alias("probability"))
     named = named.where((F.col("k") < len(FAMILIES) - 1) | (F.col("probability") < least))
     family = F.when((F.col("probability") >= least) & (F.col("k") < len(FAMILIES) - 1), F.element_at(F.array(*map(F.lit, FAMILIES)), F.col("k") + 1)).otherwise("unknown")
-    templates = F.array(*(F.array(*map(F.lit, sorted({g for t in TEMPLATES.get(name, ()) for g in _grams(_words(t)) if " " in g} or {""}))) for name in FAMILIES))
+    templates = _constant([sorted({g for t in TEMPLATES.get(name, ()) for g in _grams(_words(t)) if " " in g} or {""}) for name in FAMILIES], "array<array<string>>")
     common = F.size(F.filter("pairs", lambda g: F.array_contains(F.element_at(templates, F.col("k") + 1), g)))
     similarity = F.when(F.size("pairs") > 0, common / F.size("pairs")).otherwise(0.0)
     out = named.select("doc_id", "paragraph", family.alias("family"), F.round("probability", 6).alias("probability"), F.round(similarity, 6).alias("similarity"))
