@@ -37,6 +37,24 @@ def worker_cache() -> dict:
     return sys.modules[name].data
 
 
+def shared(spark: SparkSession, value: object):
+    """Broadcast a bounded object by value; the function returned gives it, read once a worker and object.
+
+    Plain broadcasts name classes by module, which the executors need not have.
+    """
+    raw, key = spark.sparkContext.broadcast(cloudpickle.dumps(value)), f"shared-{uuid.uuid4().hex}"
+
+    def get() -> object:
+        cache = worker_cache()
+        if key not in cache:
+            for old in [k for k in cache if isinstance(k, str) and k.startswith("shared-")]:
+                del cache[old]
+            cache[key] = cloudpickle.loads(raw.value)
+        return cache[key]
+
+    return get
+
+
 def release_memory() -> None:
     """Give freed memory back at a task's end: Spark keeps Python workers, and their memory, for the next stage."""
     import ctypes

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import id_and_text, words_of, worker_cache
+from heliograph.llm.common import id_and_text, shared, words_of, worker_cache
 
 TERMS = 8192
 RANK = 64
@@ -145,10 +145,10 @@ def score(df: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     Without labelled rows every score is 0.5.
     """
     docs = id_and_text(df, id_col, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, parts=parts, held=held))
+    get = shared(docs.sparkSession, fit(docs, labels, parts=parts, held=held))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        space: Space = shared.value
+        space: Space = get()
         for batch in batches:
             for begin in range(0, batch.num_rows, BLOCK):
                 part = batch.slice(begin, BLOCK)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import components, id_and_text, materialize, words_of
+from heliograph.llm.common import components, id_and_text, materialize, shared, words_of
 
 SEED = 42
 #: Fingerprints that the driver reads to place vantage points: a bound, whatever the input.
@@ -160,13 +160,13 @@ def link_table(nodes: DataFrame, *, most: int = 3, leaf: int = LEAF, sample: int
     share = min(1.0, 1.2 * sample / max(1, total))
     seen = nodes.select("fp").sample(share, 11).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     halves = [(seen & np.uint64(0xFFFFFFFF)).astype(np.uint32), (seen >> np.uint64(32)).astype(np.uint32)]
-    trees = spark.sparkContext.broadcast([Tree(np.sort(h), most // 2, total, leaf) for h in halves])
+    trees = shared(spark, [Tree(np.sort(h), most // 2, total, leaf) for h in halves])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fps = batch.column(1), batch.column(0).to_numpy().view(np.uint64)
             codes = [(fps & np.uint64(0xFFFFFFFF)).astype(np.uint32), (fps >> np.uint64(32)).astype(np.uint32)]
-            for which, tree in enumerate(trees.value):
+            for which, tree in enumerate(trees()):
                 shards, rows = [], []
                 for shard, at in tree.leaves(codes[which]):
                     shards.append(np.full(len(at), 2 * shard + which, np.int64))
