@@ -207,13 +207,16 @@ def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 BROADCAST_IDS = 2_000_000
 
 
-def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3) -> DataFrame:
+def one_of_each(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, groups: DataFrame | None = None) -> DataFrame:
     """The row of smallest id of each group of near duplicates, with all its columns.
 
+    `groups` (doc_id, component_id of every row) may come from another operator.
+
     Rows that share an id count as near duplicates of each other: the one of
     smallest text stays.  Rows with a null id are no one's duplicate and stay.
     """
-    groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, most=most)
+    if groups is None:
+        groups = near_duplicates(df, id_col=id_col, text_col=text_col, shingle=shingle, most=most)
     ids = materialize(groups.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
 
     def ids_where(condition: str) -> DataFrame:
