@@ -89,7 +89,7 @@ class _Block:
         n = len(seed)
         # A run's first and last window hold all its words.
         same = _mix(_mix(seed * _M1 + check[begin]) * _M2 + check[begin + count - 1] + count.astype(np.uint64))
-        self.parts.append((seed, np.full(n, doc, np.int64), np.full(n, key, np.int64), begin, at - begin, count, same, check >> np.uint64(32)))
+        self.parts.append((seed, np.full(n, doc, np.int64), np.full(n, key, np.int64), begin, at - begin, count, same, check))
         self.held += n
 
     def rows(self) -> pa.RecordBatch:
@@ -102,8 +102,8 @@ class _Block:
         decided = doc > least
         mask = np.where(decided, (1 << count) - 1, 0)
         route = np.where(decided, _mix(doc.view(np.uint64)), seed).view(np.int64)
-        ends = np.concatenate(([0], np.cumsum(np.where(decided, 0, 4 * count)))).astype(np.int32)
-        data = check[np.repeat(~decided, count)].astype("<u4").tobytes()
+        ends = np.concatenate(([0], np.cumsum(np.where(decided, 0, 8 * count)))).astype(np.int32)
+        data = check[np.repeat(~decided, count)].astype("<u8").tobytes()
         blob = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
         longs, ints = (route, doc, key), (begin, ahead, mask)
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), *(pa.array(x.astype(np.int32)) for x in ints), blob], ["route", "doc_id", "doc_key", "begin", "ahead", "mask", "checks"])
@@ -150,12 +150,12 @@ def _extend():
             seed, doc, ahead = (batch.column(i).to_numpy() for i in (0, 1, 4))
             blob = batch.column(6)
             ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
-            check = np.frombuffer(blob.buffers()[2], "<u4")[ends[0] // 4 : ends[-1] // 4].astype(np.uint64)
-            size = np.diff(ends) // 4
+            check = np.frombuffer(blob.buffers()[2], "<u8")[ends[0] // 8 : ends[-1] // 8]
+            size = np.diff(ends) // 8
             row = np.repeat(np.arange(len(seed)), size)
             place = np.arange(len(check)) - np.repeat(np.cumsum(size) - size, size)
             # A window's place in front of its seed is part of what makes two windows equal.
-            what = (check << np.uint64(8)) | (ahead[row] - place).astype(np.uint64)
+            what = _mix(check + _M2 * (ahead[row] - place).astype(np.uint64))
             key = _mix(seed[row].view(np.uint64) * _M1 + what)
             _, head, back = np.unique(key, return_index=True, return_inverse=True)
             first = doc[row[head]]
