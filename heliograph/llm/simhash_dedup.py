@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 from heliograph.llm.common import components, id_and_text, materialize, shared, words_of
 
 SEED = 42
-#: Fingerprints that the driver reads to place vantage points: a bound, whatever the input.
-SAMPLE = 20_000
-LEAF = 600
+#: Fingerprints that the driver reads to place vantage points: one of SAMPLE_STEP, within these bounds.
+SAMPLE, MAX_SAMPLE, SAMPLE_STEP = 20_000, 1 << 18, 64
+#: Fingerprints that a shard is meant to hold, and that are compared all with all within it.
+LEAF, BUCKET = 4096, 256
+#: Rows that are routed at once.
+ROUTE = 1 << 16
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -73,17 +76,19 @@ class Tree:
         self.nodes.append(None)
         if len(codes) * per <= leaf or len(codes) < 8:
             return me
-        best = None
+        best, seen = None, codes[:: max(1, len(codes) // 1024)]
         for vantage in [*rng.choice(codes, 2), np.uint32(rng.integers(1 << 32))]:
-            far = np.bitwise_count(codes ^ vantage).astype(np.int64)
-            for mu in {int(np.median(far)), int(np.median(far)) - 1}:
+            far = np.bitwise_count(seen ^ vantage).astype(np.int64)
+            middle = int(np.median(far))
+            for mu in (middle, middle - 1):
                 near, rest = int((far <= mu + self.radius).sum()), int((far > mu).sum())
                 cost = near * near + rest * rest
-                if max(near, rest) < 0.9 * len(codes) and (best is None or cost < best[0]):
-                    best = (cost, vantage, mu, far)
+                if max(near, rest) < 0.9 * len(seen) and (best is None or cost < best[0]):
+                    best = (cost, vantage, mu)
         if best is None:
             return me
-        _, vantage, mu, far = best
+        _, vantage, mu = best
+        far = np.bitwise_count(codes ^ vantage)
         near = self._grow(codes[far <= mu + self.radius], per, leaf, rng)
         rest = self._grow(codes[far > mu], per, leaf, rng)
         self.nodes[me] = (np.uint32(vantage), mu, near, rest)
@@ -104,83 +109,142 @@ class Tree:
             stack += [(near, at[far <= mu + self.radius]), (rest, at[far > mu])]
 
 
-def _local_links(fps: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links of a shard's components, as a star to each component's smallest id: never all pairs.
-
-    Distances are computed block by block; memory is one block.
-    """
+def _stars(fps: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of the components among these few fingerprints, as stars to each one's first; block by block."""
     n = len(fps)
+    labels, block = np.arange(n), max(1, (1 << 19) // max(1, n))
+    while True:
+        new = labels.copy()
+        for begin in range(0, n, block):
+            close = np.bitwise_count(fps[begin : begin + block, None] ^ fps[None, :]) <= most
+            new[begin : begin + block] = np.minimum(new[begin : begin + block], np.where(close, labels[None, :], n).min(1))
+        new = new[new]
+        if (new == labels).all():
+            break
+        labels = new
+    linked = np.flatnonzero(labels != np.arange(n))
+    return labels[linked], linked
+
+
+def _split(fps: np.ndarray, views: tuple[tuple[np.uint64, int], ...], rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray] | None:
+    """The two overlapping sides of the best split by a vantage point in one of the views; None if none saves comparisons."""
+    n, best = len(fps), None
+    seen = fps if n <= 2048 else fps[rng.integers(0, n, 2048)]
+    for mask, radius in views:
+        for vantage in rng.choice(fps, 2):
+            far = np.bitwise_count((seen ^ vantage) & mask).astype(np.int64)
+            mu = int(np.median(far))
+            for at in (mu, mu - 1, mu - radius):
+                near, rest = int((far <= at + radius).sum()), int((far > at).sum())
+                cost = near * near + rest * rest
+                if cost < 0.85 * len(seen) ** 2 and (best is None or cost < best[0]):
+                    best = (cost, mask, radius, vantage, at)
+    if best is None:
+        return None
+    _, mask, radius, vantage, at = best
+    far = np.bitwise_count((fps ^ vantage) & mask)
+    return np.flatnonzero(far <= at + radius), np.flatnonzero(far > at)
+
+
+def buckets(fps: np.ndarray, most: int, half: int, bucket: int = BUCKET) -> Iterator[np.ndarray]:
+    """Index sets of a shard that hold every pair within `most` bits that the shard's half proposes.
+
+    Second-level vantage points: a split may use the shard's own half, where such
+    a pair is within most // 2 bits, or the other half, where it is within
+    `most`.  A set whose overlaps would eat what a split saves is compared whole,
+    in blocks: fingerprints within a few bits altogether, or with one half alike.
+    """
+    low, high = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000)
+    views = ((high if half else low, most // 2), (low if half else high, most))
+    rng, stack = np.random.default_rng(9), [np.arange(len(fps))]
+    while stack:
+        at = stack.pop()
+        sides = _split(fps[at], views, rng) if len(at) > bucket else None
+        if sides is None:
+            yield at
+        else:
+            stack += [at[side] for side in sides]
+
+
+def _local_links(fps: np.ndarray, ids: np.ndarray, most: int, half: int = 0, bucket: int = BUCKET) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a shard's components, as a star to each component's smallest id: never all pairs."""
     order = np.argsort(ids, kind="stable")
     fps, ids = fps[order], ids[order]
-    labels, block = np.arange(n), max(1, (1 << 19) // max(1, n))
-    pairs_i, pairs_j = [], []
-    dense = False
-    for begin in range(0, n, block):
-        close = np.bitwise_count(fps[begin : begin + block, None] ^ fps[None, :]) <= most
-        i, j = np.nonzero(close)
-        i += begin
-        first = i < j
-        pairs_i.append(i[first])
-        pairs_j.append(j[first])
-        if sum(map(len, pairs_i)) > 1 << 19:
-            dense = True
+    found = [(at[i], at[j]) for at in map(np.sort, buckets(fps, most, half, bucket)) for i, j in [_stars(fps[at], most)]]
+    i, j = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+    labels = np.arange(len(fps))
+    while True:
+        new = labels.copy()
+        np.minimum.at(new, j, labels[i])
+        np.minimum.at(new, i, labels[j])
+        new = new[new]
+        if (new == labels).all():
             break
-    if not dense:
-        i, j = np.concatenate(pairs_i), np.concatenate(pairs_j)
-        while True:
-            new = labels.copy()
-            np.minimum.at(new, j, labels[i])
-            np.minimum.at(new, i, labels[j])
-            new = new[new]
-            if (new == labels).all():
-                break
-            labels = new
-    else:
-        while True:
-            new = labels.copy()
-            for begin in range(0, n, block):
-                close = np.bitwise_count(fps[begin : begin + block, None] ^ fps[None, :]) <= most
-                new[begin : begin + block] = np.minimum(new[begin : begin + block], np.where(close, labels[None, :], n).min(1))
-            new = new[new]
-            if (new == labels).all():
-                break
-            labels = new
-    linked = labels != np.arange(n)
+        labels = new
+    linked = labels != np.arange(len(fps))
     return ids[labels[linked]], ids[linked]
 
 
-def link_table(nodes: DataFrame, *, most: int = 3, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
+def sample_size(total: int) -> int:
+    return min(MAX_SAMPLE, max(SAMPLE, total // SAMPLE_STEP))
+
+
+def link_table(nodes: DataFrame, *, most: int = 3, leaf: int = LEAF, sample: int | None = None) -> DataFrame:
     """(u, v) links that give the components of (fp, node) rows with distinct fingerprints.
 
     Fingerprints at `most` differing bits differ by at most half as many (rounded
     down) in one 32-bit half, so two trees, one for each half, find every pair.
+    A shard is split further by the task that has it, so comparisons follow the
+    shard's size and not its square.
     """
     spark = nodes.sparkSession
     total = nodes.count()
+    sample = sample or sample_size(total)
     share = min(1.0, 1.2 * sample / max(1, total))
     seen = nodes.select("fp").sample(share, 11).limit(sample).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     halves = [(seen & np.uint64(0xFFFFFFFF)).astype(np.uint32), (seen >> np.uint64(32)).astype(np.uint32)]
     trees = shared(spark, [Tree(np.sort(h), most // 2, total, leaf) for h in halves])
 
+    def routed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        own, ids = table.column(0).chunk(0), table.column(1).chunk(0)
+        fps = own.to_numpy().view(np.uint64)
+        for which, tree in enumerate(trees()):
+            codes = ((fps >> np.uint64(32)) if which else (fps & np.uint64(0xFFFFFFFF))).astype(np.uint32)
+            for shards, at in _joined(tree.leaves(codes)):
+                yield pa.RecordBatch.from_arrays([pa.array(2 * shards + which), own.take(pa.array(at)), ids.take(pa.array(at))], ["shard", "fp", "node"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for batch in batches:
-            ids, fps = batch.column(1), batch.column(0).to_numpy().view(np.uint64)
-            codes = [(fps & np.uint64(0xFFFFFFFF)).astype(np.uint32), (fps >> np.uint64(32)).astype(np.uint32)]
-            for which, tree in enumerate(trees()):
-                shards, rows = [], []
-                for shard, at in tree.leaves(codes[which]):
-                    shards.append(np.full(len(at), 2 * shard + which, np.int64))
-                    rows.append(at)
-                if rows:
-                    at = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shards)), batch.column(0).take(at), ids.take(at)], ["shard", "fp", "node"])
-
-    def link(table: pa.Table) -> pa.Table:
-        u, v = _local_links(table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), most)
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= ROUTE:
+                yield from routed(held)
+                held, rows = [], 0
+        if held:
+            yield from routed(held)
+
+    def link(key: tuple, table: pa.Table) -> pa.Table:
+        u, v = _local_links(table["fp"].to_numpy().view(np.uint64), table["node"].to_numpy(), most, key[0].as_py() % 2)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
-    routed = nodes.select("fp", "node").mapInArrow(route, "shard long, fp long, node long")
-    return routed.groupBy("shard").applyInArrow(link, "u long, v long")
+    return nodes.select("fp", "node").mapInArrow(route, "shard long, fp long, node long").groupBy("shard").applyInArrow(link, "u long, v long")
+
+
+def _joined(parts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Leaves put together to batches of about ROUTE rows."""
+    shards, rows, held = [], [], 0
+    for shard, at in parts:
+        shards.append(np.full(len(at), shard, np.int64))
+        rows.append(at)
+        held += len(at)
+        if held >= ROUTE:
+            yield np.concatenate(shards), np.concatenate(rows)
+            shards, rows, held = [], [], 0
+    if rows:
+        yield np.concatenate(shards), np.concatenate(rows)
 
 
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, most: int = 3, leaf: int = LEAF) -> DataFrame:

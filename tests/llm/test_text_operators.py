@@ -174,6 +174,36 @@ def test_dense_group_of_fingerprints():
     assert set(u) == {0} and len(v) == 4999
 
 
+def test_shards_stay_bounded_as_fingerprints_grow():
+    import numpy as np
+
+    def cost(total):
+        """Largest shard, and comparisons a fingerprint, of one tree over uniform fingerprints."""
+        fps = np.random.default_rng(total).integers(0, 1 << 63, total, dtype=np.uint64) * np.uint64(2)
+        codes = (fps & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        tree = simhash_dedup.Tree(np.sort(codes[: simhash_dedup.sample_size(total)]), 1, total, 1024)
+        shards = [at for _, at in tree.leaves(codes)]
+        some = shards[:: max(1, len(shards) // 20)]
+        pairs = sum(len(b) ** 2 for at in some for b in simhash_dedup.buckets(fps[at], 3, 0)) / sum(map(len, some))
+        return max(map(len, shards)), pairs * sum(map(len, shards)) / total
+
+    (small, few), (large, many) = cost(100_000), cost(800_000)
+    assert large < 2 * 1024 and large < 1.5 * small and many < 2 * few
+
+
+def test_one_half_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    fps = np.unique(rng.integers(0, 1 << 32, 6_000, dtype=np.uint64) << np.uint64(32))
+    near = fps[:500] ^ (np.uint64(7) << np.uint64(40))
+    fps = np.unique(np.concatenate((fps, near)))
+    u, v = simhash_dedup._local_links(fps, np.arange(len(fps)), 3, 0)
+    where = {int(f): i for i, f in enumerate(fps)}
+    group = dict(zip(v.tolist(), u.tolist()))
+    assert all(group.get(where[int(a)], where[int(a)]) == group.get(where[int(a) ^ (7 << 40)], where[int(a) ^ (7 << 40)]) for a in near)
+
+
 def test_quality_counts_equal_the_plain_form(edge_docs, corpus):
     def plain(text):
         text = text or ""
