@@ -4,23 +4,35 @@ Patterns propose spans; labelers of three sorts (regex form, gazetteer, context)
 vote yes, no or nothing on each.  Counts of the vote patterns over all
 documents go to the driver (a bounded table: kinds times 3 to the power of the
 labelers), where expectation-maximisation estimates how reliable each labeler
-is, and a logistic span classifier learns from its posteriors.
+is.  A logistic span classifier learns from its posteriors on a bounded sample
+of spans: from the votes, and from the span itself and the words on both sides,
+which the labelers don't share, so that it can overrule them.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import id_and_text
+from heliograph.llm.common import bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone", "secret", "national_id")
 LABELERS = 5
 PATTERNS = 3**LABELERS
 NO, YES, NOTHING = 0, 1, 2
 CONTEXT = 40
+#: Matches of a text that are numbered at once; more go part by part, so that no array is copied for each match.
+PART = 256
+#: Distinct spans (by votes and features, with their counts) that the classifier is fitted on at most.
+MAX_FITTED = 20_000
+#: Features of a span, by what they measure: length, distinct characters, share of digits, case, separators, word before, word after.
+FEATURES = (8, 8, 6, 4, 8, 64, 64)
+BASES = tuple(sum(FEATURES[:i]) for i in range(len(FEATURES)))
+WIDTH = sum(FEATURES)
 
 # Forms without loops over groups: Java's matcher would recurse on those.  The
 # texts are prepared so that each form finds just what the plain one finds.
@@ -31,7 +43,7 @@ CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15}[0-9\x20-]*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 AT_WORDS = r"(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._-]{0,63}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,63}\x20?(?:\.|[(\[]dot[)\]])\x20?[A-Za-z]{2,10}"
 PLAIN_PHONE = r"(?<![0-9+)(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9])"
-SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,200}(?![A-Za-z0-9_+/=-])"
+SECRET = r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}+"
 NATIONAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: Gazetteers: fixed values.
@@ -44,20 +56,36 @@ NEAR = ("mail|contact|write|correo|schreib", "ip|host|server|address|login|from|
 AGAINST = "version|isbn|issn|doi|section|chapter|figure|commit|sha|md5|checksum|build|order no|invoice no"
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f refers to it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _found(text: Column, form: str) -> Column:
-    """Array of (start, stop, value, near) of a form's matches: code points, stop exclusive, the text before."""
-    hits = F.regexp_extract_all(text, F.lit(form), 0)
-    gaps = F.split(text, form, -1)
-    pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
-    zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() AS array<struct<start: int, stop: int, value: string, near: string>>)").alias("out"))
+    """Array of (start, stop, value, near, after) of a form's matches: code points, stop exclusive, the texts around."""
+    zero = "cast(array() AS array<struct<start: int, stop: int, value: string, near: string, after: string>>)"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["g"])
         stop = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value"), F.lower(F.right(x["g"], F.lit(CONTEXT))).alias("near"))
+        one = F.struct(start.alias("start"), stop.alias("stop"), x["m"].alias("value"), F.lower(F.right(x["g"], F.lit(CONTEXT))).alias("near"), x["after"].alias("after"))
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    return F.aggregate(pairs, zero, step)["out"]
+    def part(acc: Column, chunk: Column) -> Column:
+        begin = F.struct(F.element_at(acc, -1)["at"].alias("at"), F.expr(zero).alias("out"))
+        return F.concat(acc, F.array(F.aggregate(chunk, begin, step)))
+
+    def around(hits: Column, gaps: Column) -> Column:
+        pairs = F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        return F.zip_with(pairs, F.slice(gaps, 2, F.size(hits)), lambda x, g: F.struct(x["m"].alias("m"), x["g"].alias("g"), F.lower(F.left(g, F.lit(CONTEXT))).alias("after")))
+
+    def numbered(pairs: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / PART).cast("int")), lambda c: F.slice(pairs, c * PART + 1, F.lit(PART)))
+        done = F.aggregate(chunks, F.array(F.struct(F.lit(0).alias("at"), F.expr(zero).alias("out"))), part)
+        return F.flatten(F.transform(done, lambda x: x["out"]))
+
+    some = lambda hits: _let(_let(F.split(text, form, -1), lambda gaps: around(hits, gaps)), numbered)
+    return _let(F.regexp_extract_all(text, F.lit(form), 0), lambda hits: F.when(F.size(hits) > 0, some(hits)).otherwise(F.expr(zero)))
 
 
 def _digits(value: Column) -> Column:
@@ -123,16 +151,34 @@ def _pattern(kind: int, x: Column) -> Column:
     return total + kind * PATTERNS
 
 
+def _bits(value: Column, most: int) -> Column:
+    return F.least(F.lit(most), F.floor(F.log2(value + F.lit(1))).cast("int"))
+
+
+def _features(kind: int, x: Column) -> Column:
+    """Numbers of what holds for a span, one for each group of FEATURES."""
+    value, n = x["value"], F.length(x["value"])
+    has = lambda form: F.when(value.rlike(form), 1).otherwise(0)
+    word = lambda text, form: F.regexp_extract(text, form, 1)
+    place = lambda w: F.when(w == "", 0).otherwise((1 + F.crc32(w.cast("binary")) % 63).cast("int"))
+    all_of = (
+        _bits(n, 7), _bits(F.size(F.array_distinct(F.split(value, ""))), 7), F.floor(F.length(_digits(value)) * 5 / F.greatest(n, F.lit(1))).cast("int"), has("[A-Z]") + 2 * has("[a-z]"),
+        has(r"[\x20().]") + 2 * has("-") + 4 * has("[_+/=]"), place(word(x["near"], "([a-z]+)[^a-z]*$")), place(word(x["after"], "^[^a-z]*([a-z]+)")),
+    )
+    return F.array(*(f + (BASES[i] + kind * WIDTH) for i, f in enumerate(all_of)))
+
+
 def _spans(text: Column, kind: int, form: str, base: bool, valid=None, trim: bool = False) -> Column:
     found = _found(text, form)
     if trim:
-        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(F.rtrim(F.translate(x["value"], "-", " ")))).alias("stop"), F.rtrim(x["value"]).alias("value"), x["near"].alias("near")))
+        cut = lambda x: F.rtrim(F.translate(x["value"], "-", " "))
+        found = F.transform(found, lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(cut(x))).alias("stop"), F.rtrim(x["value"]).alias("value"), x["near"].alias("near"), x["after"].alias("after")))
     if valid is not None:
         found = F.filter(found, valid)
-    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(base).alias("base"), _pattern(kind, x).alias("pattern")))
+    return F.transform(found, lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["stop"].alias("stop"), F.lit(base).alias("base"), _pattern(kind, x).alias("pattern"), _features(kind, x).alias("features")))
 
 
-_NONE = "cast(array() AS array<struct<kind: int, start: int, stop: int, base: boolean, pattern: int>>)"
+_NONE = "cast(array() AS array<struct<kind: int, start: int, stop: int, base: boolean, pattern: int, features: array<int>>>)"
 
 
 def candidates(text: Column) -> Column:
@@ -195,36 +241,62 @@ def reliabilities(counts: dict[int, int], rounds: int = 50, prior: float = 10.0)
     return out
 
 
-def _features(pattern: int) -> list[int]:
+def _of_pattern(pattern: int) -> list[int]:
     kind, votes = pattern // PATTERNS, _votes(pattern % PATTERNS)
     return [kind] + [len(KINDS) + 2 * i + v for i, v in enumerate(votes) if v != NOTHING]
 
 
-def span_classifier(counts: dict[int, int], rounds: int = 400) -> list[float]:
-    """Score of every possible vote pattern by logistic regression on the posteriors, patterns weighted by log counts."""
-    post = reliabilities(counts)
-    width = len(KINDS) + 2 * LABELERS
-    weights = [0.0] * len(KINDS) + [w for _ in range(LABELERS) for w in (-1.0, 1.0)]
-    start = weights[:]
-    rows = [(_features(p), post[p], 1 + math.log(n)) for p, n in counts.items() if n > 0]
-    total = sum(r[2] for r in rows) or 1.0
-    for _ in range(rounds):
-        slope = [0.02 * (w - s) for w, s in zip(weights, start)]
-        for features, target, n in rows:
-            miss = n / total * (1 / (1 + math.exp(-sum(weights[f] for f in features))) - target)
-            for f in features:
-                slope[f] += miss
-        for f in range(width):
-            weights[f] -= 0.8 * slope[f]
-    return [1 / (1 + math.exp(-sum(weights[f] for f in _features(p)))) for p in range(len(KINDS) * PATTERNS)]
-
-
-def learn(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> list[float]:
-    """Votes on all spans of all rows, counted by pattern (at most kinds x 3^labelers rows), to pattern scores."""
-    docs = id_and_text(df, id_col, text_col)
-    every = docs.select(F.explode(candidates(F.coalesce("text", F.lit("")))).alias("c"))
-    counted = every.groupBy(F.col("c.pattern").alias("pattern")).count().collect()
-    return span_classifier({r["pattern"]: r["count"] for r in counted})
+class SpanClassifier:
+    """Logistic regression from votes and span features to the posteriors.
+
+    Spans weigh by log counts and by how sure their posterior is, so that those
+    on which the labelers are torn learn from the others.  Without spans the
+    votes alone decide, each for half a unit.
+    """
+
+    def __init__(self, posterior: dict[int, float], spans: list[tuple[int, list[int], int]], rounds: int = 300):
+        votes = len(KINDS) + 2 * LABELERS
+        start = np.concatenate((np.zeros(len(KINDS)), np.tile((-0.5, 0.5), LABELERS), np.zeros(len(KINDS) * WIDTH + 1)))
+        spare = len(start) - 1  # for features that are absent
+        deep = 1 + LABELERS
+        at = np.full((len(spans), deep + len(FEATURES)), spare)
+        for row, (pattern, features, _) in enumerate(spans):
+            of = _of_pattern(pattern)
+            at[row, : len(of)] = of
+            at[row, deep:] = np.array(features) + votes
+        target = np.array([posterior[p] for p, _, _ in spans])
+        weigh = np.array([1 + math.log(n) for _, _, n in spans]) * np.abs(2 * target - 1)
+        weigh = weigh / max(1.0, weigh.sum())
+        w, square = start.copy(), np.full(len(start), 1e-8)
+        for _ in range(rounds):
+            w[spare] = 0
+            miss = weigh * (1 / (1 + np.exp(-np.clip(w[at].sum(1), -30, 30))) - target)
+            slope = np.bincount(at.ravel(), weights=np.repeat(miss, at.shape[1]), minlength=len(w)) + 1e-3 * (w - start)
+            square += slope**2
+            w -= 0.1 * slope / np.sqrt(square)
+        w[spare] = 0
+        self.by_pattern = [float(w[_of_pattern(p)].sum()) for p in range(len(KINDS) * PATTERNS)]
+        self.by_feature = w[votes:spare].tolist()
+
+    def score(self, pattern: int, features: list[int]) -> float:
+        return 1 / (1 + math.exp(-(self.by_pattern[pattern] + sum(self.by_feature[f] for f in features))))
+
+    def column(self, c: Column) -> Column:
+        """The score of a candidate, over two tables that are one literal each."""
+        table = lambda values: F.from_json(F.lit(json.dumps([round(v, 6) for v in values])), "array<double>")
+        total = F.aggregate(c["features"], F.element_at(table(self.by_pattern), c["pattern"] + 1), lambda acc, f: acc + F.element_at(table(self.by_feature), f + 1))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+
+def learn(found: DataFrame) -> SpanClassifier:
+    """From a table with `found` (all candidates of each row): reliabilities from all spans' votes, the classifier from
+    at most MAX_FITTED distinct spans, those of smallest hash."""
+    every = found.select(F.explode("found").alias("c")).select("c.pattern", "c.features")
+    kinds = every.groupBy("pattern", "features").agg(F.count("*").alias("n"))
+    counts = {r["pattern"]: r["n"] for r in kinds.groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
+    some = kinds.orderBy(F.xxhash64("pattern", "features"), "pattern", "features").limit(MAX_FITTED).collect()
+    spans = sorted((r["pattern"], list(r["features"]), r["n"]) for r in some)
+    return SpanClassifier(reliabilities(counts), spans)
 
 
 def find_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -233,17 +305,20 @@ def find_spans(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Base spans always stay; a proposed span stays if the classifier gives it
     `threshold` and it overlaps no base span.  A null text counts as empty and
     has no spans; rows are judged one by one, so repeated rows and null ids
-    change nothing but the counts of votes.
+    change nothing but the counts of votes.  Candidates are searched once and
+    written with their rows, for learning and for judging.
     """
-    scores = learn(df, id_col=id_col, text_col=text_col)
+    bound_batches(df.sparkSession)
     own = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(f"_keep{i}") for i, c in enumerate(keep)))
     rest = [f"_keep{i}" for i in range(len(keep))]
-    table = F.array(*map(F.lit, scores))
-    seen = own.select("doc_id", "text", *rest, F.explode(F.array(candidates(F.coalesce("text", F.lit(""))))).alias("found"))
-    free = lambda c: ~F.exists("found", lambda b: b["base"] & (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
-    stays = F.filter("found", lambda c: c["base"] | ((F.element_at(table, c["pattern"] + 1) >= threshold) & free(c)))
-    shaped = F.transform(stays, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), c["base"].alias("base"), F.element_at(table, c["pattern"] + 1).alias("score")))
-    return seen.select("doc_id", "text", F.when(F.size("found") > 0, F.array_sort(shaped)).otherwise(F.expr("cast(array() AS array<struct<kind: int, start: int, stop: int, base: boolean, score: double>>)")).alias("spans"), *rest)
+    seen = materialize(own.select("doc_id", "text", *rest, F.explode(F.array(candidates(F.coalesce("text", F.lit(""))))).alias("found")), "candidates")
+    model = learn(seen)
+    base = lambda c: F.struct(c["start"].alias("start"), c["stop"].alias("stop"))
+    seen = seen.withColumn("fixed", F.transform(F.filter("found", lambda c: c["base"]), base))
+    free = lambda c: ~F.exists("fixed", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"]))
+    judged = F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["stop"].alias("stop"), c["base"].alias("base"), F.round(model.column(c), 9).alias("score")))
+    stays = F.filter(judged, lambda c: c["base"] | ((c["score"] >= threshold) & free(c)))
+    return seen.select("doc_id", "text", F.when(F.size("found") > 0, F.array_sort(stays)).otherwise(F.expr("cast(array() AS array<struct<kind: int, start: int, stop: int, base: boolean, score: double>>)")).alias("spans"), *rest)
 
 
 def span_list(spans: Column) -> Column:
