@@ -18,14 +18,21 @@ def document() -> Document:
     return Document({n: ("string", c(n)) for n in strings} | {"cursor": ("long", c("cursor")), "occurred_ns": ("long", c("occurred_ns")), "value": ("double", c("value"))}, json={"payload": c("payload")})
 
 
-def select(logs: DataFrame, project: str, *, environment: str | None = None, service: str | None = None, severity: str | None = None, trace_id: str | None = None, start: int | None = None, stop: int | None = None, after: int | None = None) -> DataFrame:
-    """Logs of a project; start <= time < stop in nanoseconds; severity without regard to ASCII case."""
+def select(logs: DataFrame, project: str, *, environment: str | None = None, service: str | None = None, severity: str | None = None, trace_id: str | None = None, span_id: str | None = None, request_id: str | None = None, session_id: str | None = None, resource_type: str | None = None, attributes: dict[str, str] | None = None, start: int | None = None, stop: int | None = None, after: int | None = None) -> DataFrame:
+    """Logs of a project; start <= time < stop in nanoseconds; severity without regard to ASCII case.
+
+    request.id, session.id and resource.type are looked up in the attributes map,
+    as is every entry of `attributes`; the columns are read only where asked for.
+    """
     if not project.strip():
         raise ValueError("a project is required")
     tests: list[Column] = [F.col("project") == project]
-    for name, value in (("environment", environment), ("service", service), ("trace_id", trace_id)):
+    for name, value in (("environment", environment), ("service", service), ("trace_id", trace_id), ("span_id", span_id)):
         if value is not None:
             tests.append(F.col(name) == value)
+    ids = {"request.id": request_id, "session.id": session_id, "resource.type": resource_type}
+    for name, value in ((attributes or {}) | {k: v for k, v in ids.items() if v is not None}).items():
+        tests.append(F.try_element_at("attributes", F.lit(name)) == value)
     if severity is not None:
         tests.append(F.upper("severity") == severity.upper())
     if start is not None:

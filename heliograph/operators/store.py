@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 4096
+#: Rows of a shard map.
+MAX_EPOCHS = 10_000
 DAY_NS = 86_400 * 1_000_000_000
 
 
@@ -68,12 +72,20 @@ def shard(key: Column) -> Column:
 def route(rows: DataFrame, epochs: DataFrame) -> DataFrame:
     """The shard map epoch in force at each row's cursor: the last activation not after it.
 
-    Both sides meet in one ordered window by bucket range, which is an as-of
-    join without pairs; epochs (a small control table) are broadcast as intervals.
+    The map is a control table of MAX_EPOCHS rows at most (more are an error).
+    It travels as one sorted array in which each row's place is found by
+    halving: no join, no shuffle, no pairs.  Rows before the first activation get nulls.
     """
-    w = Window.orderBy("activation")
-    spans = epochs.withColumn("until", F.lead("activation", 1, (1 << 63) - 1).over(w))
-    return rows.join(F.broadcast(spans), (F.col("cursor") >= F.col("activation")) & (F.col("cursor") < F.col("until")), "left").drop("activation", "until")
+    rest = [c for c in epochs.columns if c != "activation"]
+    known = epochs.orderBy("activation").limit(MAX_EPOCHS + 1).collect()
+    if len(known) > MAX_EPOCHS:
+        raise ValueError(f"a shard map has at most {MAX_EPOCHS} epochs")
+    kind = "array<struct<" + ", ".join(f"`{c}`: {epochs.schema[c].dataType.simpleString()}" for c in ("activation", *rest)) + ">>"
+    table = F.from_json(F.lit(json.dumps([{c: r[c] for c in ("activation", *rest)} for r in known])), kind)
+    halves = F.array(*(F.lit(1 << k) for k in reversed(range(MAX_EPOCHS.bit_length()))))
+    place = F.aggregate(halves, F.lit(0), lambda at, s: F.when((at + s <= len(known)) & (F.try_element_at(table, at + s)["activation"] <= F.col("cursor")), at + s).otherwise(at))
+    found = rows.withColumn("_epoch", F.try_element_at(table, F.when(place > 0, place)))
+    return found.select("*", *(F.col("_epoch")[c].alias(c) for c in rest)).drop("_epoch")
 
 
 def unused(blobs: DataFrame, refs: DataFrame) -> DataFrame:

@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heliograph.sources.tables import written
+
 KEY = ["project", "trace_id"]
-#: Levels of parents that joins resolve; deeper traces go to a function by trace.
-MAX_DEPTH = 16
 
 
 def valid(spans: DataFrame) -> DataFrame:
@@ -67,18 +67,32 @@ def _cycles(pdf: pd.DataFrame) -> list[list[str]]:
     return sorted(out)
 
 
+def _unreached(spans: DataFrame) -> DataFrame:
+    """The spans whose parents lead to no root: those in cycles, and those that hang on them.
+
+    Every span points at an ancestor, its parent first.  In each round the ones
+    whose ancestor hangs on a root go, and the others point as far again as their
+    ancestor does; a chain of n spans is gone after log2(n) rounds.
+    """
+    rows = written(spans.where("NOT root").select(*KEY, "span_id", F.col("parent_id").alias("up")), "unreached")
+    left = rows.count()
+    longest = spans.groupBy(*KEY).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    for _ in range(longest.bit_length() + 1):
+        if not left:
+            break
+        above = rows.select(*KEY, F.col("span_id").alias("up"), F.col("up").alias("far"))
+        rows = written(rows.join(above, [*KEY, "up"]).select(*KEY, "span_id", F.col("far").alias("up")), "unreached")
+        left = rows.count()
+    return rows.select(*KEY, "span_id")
+
+
 def cycles(spans: DataFrame) -> DataFrame:
-    """trace, cycle array: only traces without enough roots to explain their spans can have one.
+    """trace, cycle array, of with_parents() spans: each cycle of parents once, its spans in order.
 
-    Spans that hang on a root by parents are peeled off first; what is left, few
-    traces if any, goes to a function by trace.
+    Spans that a root reaches are peeled off by joins; what is left, few traces
+    if any, goes to a function by trace.
     """
-    keep = spans.select(*KEY, "span_id", "parent_id", "root")
-    size = Window.partitionBy(*KEY)
-    suspect = keep.withColumn("_n", F.count("*").over(size)).withColumn("_self", F.col("parent_id") == F.col("span_id"))
-    # A span whose id sorts after its parent's can't close a cycle unless another's sorts before.
-    back = F.max((F.coalesce(F.col("parent_id"), F.lit("")) >= F.col("span_id")).cast("int")).over(size)
-    suspect = suspect.withColumn("_back", back).where("_back = 1 AND NOT root OR _self")
+    suspect = spans.select(*KEY, "span_id", "parent_id").join(_unreached(spans), [*KEY, "span_id"], "left_semi")
 
     def by_trace(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         found = _cycles(pdf)
@@ -87,58 +101,47 @@ def cycles(spans: DataFrame) -> DataFrame:
     return suspect.groupBy(*KEY).applyInPandas(by_trace, "project string, trace_id string, cycle array<string>")
 
 
-def critical_path(spans: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """trace, path array, length: the largest sum of durations from a root to a leaf; ties go to the smaller path.
+def best_path(spans: list[tuple[str, str | None, int]]) -> tuple[int, list[str]]:
+    """Largest sum of durations down from a root, and its path, of (span, parent, duration) rows of one trace.
 
-    Children hand their best path to their parents by joins, one level a round
-    in the span table; a trace deeper than `depth` is an error that names it.
-    Without a root every span is a candidate (cycles: critical_path_by_trace).
+    Without a root every span is a candidate.  Ties go to the smaller path; the
+    paths of siblings differ in their first span.  No recursion, and a span
+    keeps its best child only.
     """
-    base = spans.select(*KEY, "span_id", "parent_id", "root", (F.col("stop") - F.col("start")).alias("own"))
-    # Paths from the roots down: each round extends by one child.
-    down = base.where("root").select(*KEY, F.col("span_id").alias("tip"), F.array("span_id").alias("path"), F.col("own").alias("length"))
-    kids = base.where("NOT root").select(*KEY, F.col("parent_id").alias("tip"), F.col("span_id").alias("kid"), "own")
-    every = down
-    level = down
-    for _ in range(depth):
-        level = level.join(kids, [*KEY, "tip"]).select(*KEY, F.col("kid").alias("tip"), F.concat("path", F.array("kid")).alias("path"), (F.col("length") + F.col("own")).alias("length"))
-        every = every.unionByName(level)
-    return every.groupBy(*KEY).agg(F.min_by(F.struct("path", "length"), F.struct((-F.col("length")).alias("n"), F.col("path"))).alias("b")).select(*KEY, "b.path", "b.length")
-
-
-def best_path(spans: list[tuple[str, str | None, int]]) -> tuple[int, list[str]]:
-    """The same for one trace of any depth, without recursion; (span, parent, duration) rows."""
     parent = {s: p for s, p, _ in spans}
     own = {s: d for s, _, d in spans}
-    children: dict[str, list[str]] = {s: [] for s in own}
+    children: dict[str, list[str]] = {}
     for s, p in parent.items():
         if p in own:
-            children[p].append(s)
-    roots = sorted(s for s, p in parent.items() if p not in own) or sorted(own)
+            children.setdefault(p, []).append(s)
     best: tuple[int, list[str]] | None = None
-    for root in roots:
-        done: dict[str, tuple[int, list[str]]] = {}
-        stack = [(root, False)]
-        trail: set[str] = set()
+    for root in sorted(s for s, p in parent.items() if p not in own) or sorted(own):
+        done: dict[str, tuple[int, str | None]] = {}
+        stack, trail = [(root, False)], set()
         while stack:
             s, back = stack.pop()
             if back:
                 trail.discard(s)
-                below = min((done[c] for c in children[s] if c in done), key=lambda x: (-x[0], x[1]), default=(0, []))
-                done[s] = (own[s] + below[0], [s, *below[1]])
-            elif s not in done and s not in trail:
+                below = min(((-done[c][0], c) for c in children.get(s, ()) if c in done), default=(0, None))
+                done[s] = (own[s] - below[0], below[1])
+            else:
                 trail.add(s)
                 stack.append((s, True))
-                stack += [(c, False) for c in children[s] if c not in trail]
-        if best is None or (-done[root][0], done[root][1]) < (-best[0], best[1]):
-            best = done[root]
+                stack += [(c, False) for c in children.get(s, ()) if c not in trail]
+        if best is None or done[root][0] > best[0]:
+            path, at = [], root
+            while at is not None:
+                path.append(at)
+                at = done[at][1]
+            best = (done[root][0], path)
     return best or (0, [])
 
 
-def critical_path_by_trace(spans: DataFrame) -> DataFrame:
-    """As critical_path for traces of any depth, also with cycles.
+def critical_path(spans: DataFrame) -> DataFrame:
+    """trace, path array, length: the largest sum of durations from a root to a leaf; ties go to the smaller path.
 
-    A trace's spans come together by one shuffle and a sort; a function walks
+    Traces may have any depth.  Where a trace has no root, every span is a
+    candidate and a path ends before it would repeat a span.  A trace's spans come together by one shuffle and a sort; a function walks
     the sorted rows and holds one trace at a time.
     """
 

@@ -389,7 +389,7 @@ def select_points(points: DataFrame, selector: Selector) -> DataFrame:
     out = points.where(F.col("name") == selector.name)
     for m in selector.matchers:
         value = F.coalesce(F.try_element_at("labels", F.lit(m.label)), F.lit("")) if m.label != "__name__" else F.col("name")
-        test = value.rlike(f"^(?:{m.value})$") if "~" in m.op else value == m.value
+        test = value.rlike(rf"(?s)^(?:{m.value})\z") if "~" in m.op else value == m.value
         out = out.where(~test if m.op[0] == "!" else test)
     return out
 

@@ -96,13 +96,22 @@ _LABEL = r'\s*[A-Za-z_][A-Za-z0-9_]*\s*=\s*"(?:[^"\\]|\\[n"\\])*"\s*'
 SAMPLE = rf"^({_NAME})(?:\{{((?:{_LABEL}(?:,{_LABEL})*+,?)?\s*)\}})?\s+(\S+)(?:\s+(-?\d+))?\s*$"
 
 
+#: Kinds that a TYPE line may name: fixed values.
+METRIC_KINDS = ("counter", "gauge", "histogram", "summary", "untyped", "unknown")
+
+
 def scraped(lines: DataFrame, column: str = "line", by: str = "scrape") -> DataFrame:
     """Samples of metric text: name, labels, value, timestamp, whether it is a counter, or why the line is invalid.
 
     A name's TYPE comes from the lines of the same scrape; parts of a histogram count as counters.
+    Samples of a family whose TYPE is repeated or unknown, and samples that repeat
+    another one's name, labels and time, are invalid.
     """
+    from heliograph.functions.values import identity
+
     raw = F.trim(F.col(column))
-    types = lines.where(raw.rlike(r"^#\s*TYPE\s")).select(by, F.split(raw, r"\s+").alias("w")).select(by, F.element_at("w", -2).alias("family"), F.element_at("w", -1).alias("kind")).distinct()
+    types = lines.where(raw.rlike(r"^#\s*TYPE\s")).select(by, F.split(raw, r"\s+").alias("w")).select(by, F.element_at("w", -2).alias("family"), F.element_at("w", -1).alias("kind"))
+    types = types.groupBy(by, "family").agg(F.min("kind").alias("kind"), F.when(F.count("*") > 1, "repeated TYPE").when(~F.min("kind").isin(*METRIC_KINDS), "invalid TYPE").alias("problem"))
     body = lines.where(raw.rlike(r"^[^#\s]")).withColumn("_raw", raw)
     part = lambda i: F.regexp_extract("_raw", SAMPLE, i)
     pairs = F.regexp_extract_all(part(2), F.lit(r'([A-Za-z_][A-Za-z0-9_]*)\s*=\s*"((?:[^"\\]|\\[n"\\])*)"'), 0)
@@ -113,9 +122,12 @@ def scraped(lines: DataFrame, column: str = "line", by: str = "scrape") -> DataF
     rest = [c for c in lines.columns if c != column]
     samples = body.select(*rest, F.when(error.isNull(), part(1)).alias("name"), F.when(error.isNull(), labels).alias("labels"), F.when(error.isNull(), number).alias("value"), F.when(error.isNull() & (part(4) != ""), part(4).cast("long")).alias("timestamp"), error.alias("error"))
     root = F.regexp_replace("name", "_(?:bucket|count|sum)$", "")
-    own = types.select(by, F.col("family").alias("name"), (F.col("kind") == "counter").alias("_own"))
-    parts = types.where("kind = 'histogram'").select(by, F.col("family").alias("_root"), F.lit(True).alias("_part"))
+    own = types.select(by, F.col("family").alias("name"), (F.col("kind") == "counter").alias("_own"), F.col("problem").alias("_own_problem"))
+    parts = types.where("kind = 'histogram' OR problem IS NOT NULL").select(by, F.col("family").alias("_root"), (F.col("kind") == "histogram").alias("_part"), F.col("problem").alias("_part_problem"))
     out = samples.withColumn("_root", F.when(root != F.col("name"), root)).join(own, [by, "name"], "left").join(parts, [by, "_root"], "left")
+    same = Window.partitionBy(by, "name", identity(F.col("labels")), "timestamp")
+    again = F.when(F.col("name").isNotNull() & (F.count("*").over(same) > 1), "duplicate sample")
+    out = out.withColumn("error", F.coalesce("error", "_own_problem", "_part_problem", again))
     return out.select(*rest, "name", "labels", "value", "timestamp", (F.coalesce("_own", F.lit(False)) | F.coalesce("_part", F.lit(False))).alias("counter"), "error")
 
 

@@ -59,10 +59,16 @@ def temporality(code: Column) -> Column:
 
 
 def _items(df: DataFrame, column: str, schema: str, outer: str, scopes: str, items: str, keep: list[str]) -> DataFrame:
+    """One row an item.  An envelope that is no JSON object, and a part without scopes or items, is a row without an item."""
     root = df.select(*keep, F.from_json(column, schema).alias("root"))
-    a = root.select(*keep, F.explode(f"root.{outer}").alias("a"))
-    b = a.select(*keep, resource(F.col("a.resource.attributes")).alias("resource"), F.explode(f"a.{scopes}").alias("b"))
-    return b.select(*keep, "resource", F.col("b.scope.name").alias("scope"), F.explode(f"b.{items}").alias("item"))
+    a = root.select(*keep, F.explode_outer(f"root.{outer}").alias("a"))
+    # The resource is read once a part, before its scopes multiply.
+    a = a.select(*keep, F.explode(F.array(resource(F.col("a.resource.attributes")))).alias("resource"), "a")
+    b = a.select(*keep, "resource", F.explode_outer(f"a.{scopes}").alias("b"))
+    return b.select(*keep, "resource", F.col("b.scope.name").alias("scope"), F.explode_outer(f"b.{items}").alias("item"))
+
+
+EMPTY = "the envelope holds no items"
 
 
 def logs(df: DataFrame, column: str = "envelope", *, project: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -76,7 +82,7 @@ def logs(df: DataFrame, column: str = "envelope", *, project: str, keep: tuple[s
     return out.select(
         *keep, F.lit(project).alias("project"), environment(F.col("resource")).alias("environment"), "resource", "scope", occurred.alias("occurred_ns"), F.when(F.coalesce(observed, F.lit(0)) == 0, occurred).otherwise(observed).alias("observed_ns"),
         i["severityText"].alias("severity"), any_text(i["body"]).alias("body"), attrs.alias("attributes"), F.nullif(i["traceId"], F.lit("")).alias("trace_id"), F.nullif(i["spanId"], F.lit("")).alias("span_id"),
-        F.when(any_text(i["body"]).isNull(), "log record has no body").when(i["timeUnixNano"].isNotNull() & t.isNull(), "time is no number").alias("error"),
+        F.when(i.isNull(), EMPTY).when(any_text(i["body"]).isNull(), "log record has no body").when(i["timeUnixNano"].isNotNull() & t.isNull(), "time is no number").alias("error"),
     )
 
 
@@ -89,7 +95,7 @@ def spans(df: DataFrame, column: str = "envelope", *, project: str, keep: tuple[
     return out.select(
         *keep, F.lit(project).alias("project"), environment(F.col("resource")).alias("environment"), "resource", "scope", i["traceId"].alias("trace_id"), i["spanId"].alias("span_id"), F.nullif(i["parentSpanId"], F.lit("")).alias("parent_id"),
         i["name"].alias("operation"), start.alias("start"), stop.alias("stop"), i["status"]["code"].alias("status"), attributes(i["attributes"]).alias("attributes"), i["links"].alias("links"),
-        F.when(blank(i["traceId"]) | blank(i["spanId"]) | blank(i["name"]), "span needs traceId, spanId and name").when(start.isNull() | stop.isNull() | (stop < start), "span times are invalid").alias("error"),
+        F.when(i.isNull(), EMPTY).when(blank(i["traceId"]) | blank(i["spanId"]) | blank(i["name"]), "span needs traceId, spanId and name").when(start.isNull() | stop.isNull() | (stop < start), "span times are invalid").alias("error"),
     )
 
 
@@ -118,10 +124,10 @@ def metrics(df: DataFrame, column: str = "envelope", *, project: str, keep: tupl
         F.transform(i["histogram"]["dataPoints"], lambda p: point(p, "histogram", temporality(i["histogram"]["aggregationTemporality"]), True)), F.transform(i["exponentialHistogram"]["dataPoints"], lambda p: point(p, "exponential", temporality(i["exponentialHistogram"]["aggregationTemporality"]), True)),
     ), lambda a: a.isNotNull()))
     p = F.col("p")
-    flat = out.select(*keep, "resource", "scope", i["name"].alias("name"), F.nullif(i["unit"], F.lit("")).alias("unit"), F.explode(points).alias("p"))
+    flat = out.select(*keep, "resource", "scope", i["name"].alias("name"), F.nullif(i["unit"], F.lit("")).alias("unit"), i.isNull().alias("empty"), F.explode_outer(points).alias("p"))
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
     bad = (
-        F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "metric has no name")
+        F.when(F.col("empty"), EMPTY).when(F.trim(F.coalesce("name", F.lit(""))) == "", "metric has no name").when(p.isNull(), "metric has no points")
         .when(p["temporality"].isNull(), "unknown temporality")
         .when(F.coalesce(p["t"], F.lit(0)) <= 0, "metric time is missing")
         .when(F.coalesce(p["start_time"], F.lit(0)) > p["t"], "metric starts after its time")

@@ -87,8 +87,30 @@ def parse_write(raw: bytes) -> list[tuple[dict[str, str], int, int]]:
     return out
 
 
-def decode(df: DataFrame, column: str = "body") -> DataFrame:
-    """labels, timestamp, value, stale of the samples in binary request bodies; a broken body is one row with an error."""
+#: Bytes that a request may have when it is unpacked.
+MAX_BODY = 64 << 20
+
+
+def unpacked(raw: bytes) -> bytes:
+    """A snappy block as bytes; its length stands in front as a varint."""
+    size = shift = 0
+    for at, b in enumerate(raw[:5]):
+        size |= (b & 0x7F) << shift
+        shift += 7
+        if b < 0x80:
+            break
+    else:
+        raise ValueError("snappy block without a length")
+    if size > MAX_BODY:
+        raise ValueError("request is too large")
+    return pa.decompress(raw, decompressed_size=size, codec="snappy", asbytes=True)
+
+
+def decode(df: DataFrame, column: str = "body", *, snappy: bool = False) -> DataFrame:
+    """labels, timestamp, value, stale of the samples in binary request bodies; a broken body is one row with an error.
+
+    With `snappy` the bodies are compressed as clients send them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.map_(pa.string(), pa.string()), pa.int64(), pa.float64(), pa.bool_(), pa.string())
@@ -96,10 +118,10 @@ def decode(df: DataFrame, column: str = "body") -> DataFrame:
             rows = []
             for raw in batch.column(0).to_pylist():
                 try:
-                    for labels, t, bits in parse_write(raw or b""):
+                    for labels, t, bits in parse_write(unpacked(raw or b"") if snappy else raw or b""):
                         stale = bits == STALE_BITS
                         rows.append((list(labels.items()), t, 0.0 if stale else struct.unpack("<d", bits.to_bytes(8, "little"))[0], stale, None))
-                except (ValueError, IndexError, UnicodeDecodeError) as e:
+                except (ValueError, IndexError, UnicodeDecodeError, OSError) as e:
                     rows.append((None, None, None, None, f"invalid request: {e}"))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["labels", "timestamp", "value", "stale", "error"])
 

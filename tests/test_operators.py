@@ -154,7 +154,7 @@ def spans(spark, rows):
 
 def assemble(spark, rows):
     s = traces.with_parents(traces.latest(traces.valid(spans(spark, rows))))
-    return traces.summary(s).first(), traces.gaps(s).collect(), traces.cycles(s).collect(), traces.critical_path_by_trace(s).first(), s
+    return traces.summary(s).first(), traces.gaps(s).collect(), traces.cycles(s).collect(), traces.critical_path(s).first(), s
 
 
 def test_trace_of_a_leaf_first(spark):
@@ -172,6 +172,74 @@ def test_absent_parent_and_cycle(spark):
     assert [c.cycle for c in cycles] == [["z"]] and summary.conflicts == 1 and [g.gap for g in gaps] == ["conflicting_span:c"]
 
 
+def test_deep_chains_and_cycles_with_tails(spark):
+    deep = [(f"d{i:03}", f"d{i - 1:03}" if i else None, 0, i + 1) for i in range(200)]
+    _, _, cycles, path, s = assemble(spark, deep)
+    assert not cycles and len(path.path) == 200 and path.length == sum(range(1, 201)) and traces._unreached(s).isEmpty()
+    ring = [(f"r{i}", f"r{(i + 1) % 5}", 0, 1) for i in range(5)] + [("t0", "r0", 0, 9), ("t1", "t0", 0, 9), ("x", "y", 0, 1), ("y", "x", 0, 1)]
+    _, _, cycles, path, s = assemble(spark, ring)
+    assert sorted(c.cycle for c in cycles) == [["r0", "r1", "r2", "r3", "r4"], ["x", "y"]] and traces._unreached(s).count() == 9
+    assert path.length == 23 and path.path[-2:] == ["t0", "t1"]
+
+
+def test_fingerprints_equal_a_plain_form(spark):
+    import re
+
+    form = re.compile(r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b|\b0x[0-9a-f]+\b|\b\d+(?:\.\d+)?\b")
+    plain = lambda t: re.sub(r"\s+", " ", form.sub("?", t)).strip(" ")
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text IS NOT NULL").select("text")
+    more = spark.createDataFrame([("x" * 900 + " é12 12é 3.5 0xFF — ١٢ 12_3 1.2.3",), ("",), ("  9  ",), ("user 123e4567-e89b-12d3-a456-426614174000 gone",)], "text string")
+    from heliograph.operators import errors
+
+    for r in docs.union(more).select("text", errors.fingerprint(F.col("text")).alias("p")).collect():
+        assert r.p == plain(r.text)
+
+
+def test_scrape_checks(spark):
+    text = ["# TYPE a counter", "# TYPE a gauge", "a 1", "# TYPE h histogram", 'h_bucket{le="+Inf"} 2', "# TYPE z wrong", "z 1", "b 2", "b 2", 'b{x="1"} 2', "c 3 1000", "c 3 2000"]
+    df = spark.createDataFrame([(1, line) for line in text] + [(2, "a 1")], "scrape int, line string")
+    got = sorted((r.scrape, r.name, r.counter, r.error) for r in lines.scraped(df).select("scrape", "name", "counter", F.coalesce("error", F.lit("")).alias("error")).collect())
+    assert got == sorted([(1, "a", True, "repeated TYPE"), (1, "h_bucket", True, ""), (1, "z", False, "invalid TYPE"), (1, "b", False, "duplicate sample"), (1, "b", False, "duplicate sample"), (1, "b", False, ""), (1, "c", False, ""), (1, "c", False, ""), (2, "a", False, "")])
+
+
+def test_broken_envelopes_are_error_rows(spark):
+    from heliograph.sources import otlp
+
+    good = '{"resourceLogs":[{"scopeLogs":[{"logRecords":[{"timeUnixNano":"5","body":{"stringValue":"x"}}]}]}]}'
+    df = spark.createDataFrame([(1, "not json"), (2, "{}"), (3, good), (4, '{"resourceLogs":[{"resource":{}}]}'), (5, None)], "i int, envelope string")
+    got = {r.i: (r.body, r.error) for r in otlp.logs(df, project="p", keep=("i",)).collect()}
+    assert got == {3: ("x", None)} | {i: (None, otlp.EMPTY) for i in (1, 2, 4, 5)}
+    for f in (otlp.spans, otlp.metrics):
+        assert {r.error for r in f(df, project="p", keep=("i",)).collect()} == {otlp.EMPTY}
+
+
+def test_log_selection_by_ids_and_attributes(spark):
+    from heliograph.operators import logs
+
+    rows = [(1, "p", "s1", {"request.id": "r", "k": "v"}), (2, "p", "s2", {"request.id": "q", "session.id": "z"}), (3, "p", "s1", {"resource.type": "host"}), (4, "p", None, None)]
+    df = spark.createDataFrame(rows, "cursor long, project string, span_id string, attributes map<string,string>")
+    ids = lambda **by: sorted(r.cursor for r in logs.select(df, "p", **by).collect())
+    assert ids(span_id="s1") == [1, 3] and ids(request_id="r", attributes={"k": "v"}) == [1] and ids(session_id="z") == [2] and ids(resource_type="host") == [3] and ids(attributes={"k": "w"}) == []
+
+
+def test_label_patterns_match_whole_values(spark):
+    p = spark.createDataFrame([("up", {"a": v}, 0, 0, 1.0, False) for v in ("x", "x\n", "x\ny")], "name string, labels map<string,string>, t long, cursor long, value double, stale boolean")
+    from heliograph.plans import promql
+
+    tree = promql.parse('up{a=~"x"}'), promql.parse('up{a=~"x.*"}')
+    test = lambda t: {r.a for r in p.select(F.col("labels")["a"].alias("a")).where(F.col("a").rlike(rf"(?s)^(?:{t.matchers[0].value})\z")).collect()}
+    assert test(tree[0]) == {"x"} and test(tree[1]) == {"x", "x\n", "x\ny"}
+
+
+def test_shard_map_epochs(spark):
+    from heliograph.operators import store
+
+    epochs = spark.createDataFrame([(10 * k, k) for k in range(1, 38)], "activation long, epoch int")
+    got = {r.cursor: r.epoch for r in store.route(spark.range(400).withColumnRenamed("id", "cursor"), epochs).collect()}
+    assert got == {c: min(c // 10, 37) if c >= 10 else None for c in range(400)}
+    assert store.route(spark.range(3).withColumnRenamed("id", "cursor"), epochs.limit(0)).first().epoch is None
+
+
 def test_path_ties_and_depth():
     assert traces.best_path([("r", None, 1), ("b", "r", 5), ("a", "r", 5)]) == (6, ["r", "a"])
     deep = [("s0", None, 1)] + [(f"s{i}", f"s{i - 1}", 1) for i in range(1, 5000)]
@@ -287,6 +355,11 @@ def test_remote_write_bytes(spark):
     label = lambda k, v: field(1, field(1, k) + field(2, v))
     body = field(1, label(b"__name__", b"up_total") + label(b"service.name", b"api") + sample(struct.pack("<d", 2.5), 1000) + sample(remote_write.STALE_BITS.to_bytes(8, "little"), 2000))
     df = spark.createDataFrame([(body,), (body[:-3],), (None,)], "body binary")
+    import pyarrow as pa
+
+    packed = spark.createDataFrame([(bytearray(pa.compress(body, codec="snappy", asbytes=True)),), (bytearray(b"\xff\xff\xff"),)], "body binary")
+    shown = lambda d: sorted((r.timestamp, r.value) for r in d.where("error IS NULL").collect())
+    assert shown(remote_write.decode(packed, snappy=True)) == [(1000, 2.5), (2000, 0.0)] and remote_write.decode(packed, snappy=True).where("error IS NOT NULL").count() == 1
     rows = remote_write.decode(df)
     got = sorted(((r.name, r.t, r.value, r.stale, r.temporality, r.resource["service.name"]) for r in remote_write.points(rows.where("error IS NULL"), "p").collect()), key=str)
     assert got == [("up_total", 1_000_000_000, 2.5, False, "cumulative", "api"), ("up_total", 2_000_000_000, 0.0, True, "cumulative", "api")]
