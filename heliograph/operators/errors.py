@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from heliograph.functions.values import json_at, json_text
 
-#: Parts of a message that vary from one occurrence to the next: UUIDs, hex numbers, numbers.
+#: Parts of a message that vary from one occurrence to the next: UUIDs, hex numbers, numbers.  A fixed value: fingerprints must agree.
 VOLATILE = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b|\b0x[0-9a-f]+\b|\b\d+(?:\.\d+)?\b"
 MAX_VERSIONS, SAMPLES = 100, 3
 

@@ -11,7 +11,7 @@ DEDUPE_SECONDS = 6 * 3600
 QUOTA_ITEMS, QUOTA_SECONDS = 720_000, 60
 MAX_STRING_BYTES = 4096
 REDACTED = "[REDACTED]"
-#: Keys (without a bytes or base64 ending) that hold model content.
+#: Keys (without a bytes or base64 ending) that hold model content.  Fixed values: policies must agree on them.
 CONTENT_KEYS = ("prompt", "prompts", "completion", "completions", "response", "responses", "message", "messages", "input", "output", "system_instruction", "system_instructions")
 CONTENT_PATHS = ("gen_ai.prompt", "gen_ai.completion", "gen_ai.input.messages", "gen_ai.output.messages", "gen_ai.system_instructions", "llm.input_messages", "llm.output_messages")
 CONTENT_ENDINGS = (".prompt", ".completion", ".response", ".messages")
