@@ -83,6 +83,27 @@ def test_held_out_quality(spark):
     assert sum(g > b for g in good for b in bad) > 0.9 * len(good) * len(bad)
 
 
+def test_scores_equal_plain_votes(spark):
+    """Every cosine with every labelled vector, one by one, from the fitted space."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    base = docs.select("doc_id", "text")
+    space = quality_classifier.fit(base, labels)
+    got = {r.doc_id: r.score for r in quality_classifier.score(docs, labels).collect()}
+    voters = [(v.tolist(), float(y)) for v, y in zip(space.vectors, space.labels)]
+    assert len(voters) > quality_classifier.NEIGHBOURS and all(abs(math.fsum(x * x for x in v) - 1) < 1e-4 for v, _ in voters)
+    idf, directions = space.idf.tolist(), space.directions.T.tolist()
+    for r in base.collect()[:60]:
+        counts = quality_classifier.term_counts(r.text)
+        terms = [(i, math.log1p(float(counts[i])) * idf[i]) for i in counts.nonzero()[0].tolist()]
+        point = [math.fsum(w * d[i] for i, w in terms) for d in directions]
+        size = math.sqrt(math.fsum(x * x for x in point)) or 1.0
+        near = sorted(((sum(a * b for a, b in zip(point, v)) / size, y) for v, y in voters), reverse=True)[: quality_classifier.NEIGHBOURS]
+        votes = [(max(c, 1e-6) ** 4, y) for c, y in near]
+        assert abs(got[r.doc_id] - sum(w * y for w, y in votes) / sum(w for w, _ in votes)) < 2e-3
+
+
 def test_held_out_labels_do_not_matter(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
     other = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality")).otherwise(F.col("quality"))).repartition(7)
