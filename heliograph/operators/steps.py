@@ -55,12 +55,35 @@ def simple_rate(points: DataFrame, by: list[str], start: int, step: int, count:
     return per.where(length > 0).select(*by, "k", ((F.col("b.run") - F.col("a.run")) / (length / F.lit(float(NANO)))).alias("value"))
 
 
+def _ends(live: DataFrame, by: list[str], start: int, step: int, count: int, window: int, carry: list[str]) -> DataFrame:
+    """by, k, a, b: the first and the last point in (step - window, step], as structs of `carry`, where there are any.
+
+    Each series' first row brings two marks for every step whose window can hold
+    a point; the marks are sorted in among the points, and each takes the point
+    beside it.  So the rows are points plus steps, whatever the window is to the
+    step, and all of it happens in the one shuffle by series.
+    """
+    w, whole = Window.partitionBy(*by).orderBy("t", "cursor"), Window.partitionBy(*by)
+    own = F.struct(F.col("t").alias("at"), F.lit(0).alias("mark"), F.col("cursor").alias("c"), F.lit(None).cast("long").alias("k"), F.struct(*carry).alias("p"))
+    mark = lambda k, side: F.struct((F.lit(start - window * side) + k * step).alias("at"), F.lit(1 + side).alias("mark"), F.lit(0).cast("long").alias("c"), k.alias("k"), F.lit(None).cast(live.select(F.struct(*carry)).schema[0].dataType).alias("p"))
+    steps = _between(F.min("t").over(whole), F.max("t").over(whole) + (window - 1), start, step, count)
+    first = live.withColumn("_steps", F.when(F.row_number().over(w) == 1, steps).otherwise(F.array().cast("array<bigint>")))
+    rows = first.select(*by, F.explode(F.concat(F.array(own), F.flatten(F.transform("_steps", lambda k: F.array(mark(k, 0), mark(k, 1)))))).alias("r")).select(*by, "r.*")
+    # A mark comes after the points of its own time: a point at a step belongs to it, one a whole window back does not.
+    up = Window.partitionBy(*by).orderBy("at", F.least("mark", F.lit(1)), "c")
+    down = Window.partitionBy(*by).orderBy(F.col("at").desc(), F.least("mark", F.lit(1)).desc(), F.col("c").desc())
+    before = F.last("p", ignorenulls=True).over(up.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.last("p", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
+    beside = rows.withColumn("_b", before).withColumn("_a", after).where("mark > 0")
+    return beside.groupBy(*by, "k").agg(F.max(F.when(F.col("mark") == 2, F.col("_a"))).alias("a"), F.max(F.when(F.col("mark") == 1, F.col("_b"))).alias("b"))
+
+
 def window_change(points: DataFrame, by: list[str], start: int, step: int, count: int, window: int, *, increase: bool) -> DataFrame:
     """Extrapolated increase or rate over (step - window, step] of points that are not stale.
 
     A point below the one before, or with another start time (`start_time`, if
     the points have it), is a reset and adds the value before.  Points that share a time
-    are an error.  All aggregates are algebraic.
+    are an error.  Running sums make a window the difference of its ends.
     """
     w = Window.partitionBy(*by).orderBy("t", "cursor")
     live = points.where("NOT stale").withColumn("before", F.lag("value").over(w)).withColumn("_twin", F.coalesce(F.lag("t").over(w) == F.col("t"), F.lit(False)))
@@ -69,12 +92,10 @@ def window_change(points: DataFrame, by: list[str], start: int, step: int, count
         live = live.withColumn("_was", F.lag("start_time").over(w))
         reset = reset | F.coalesce((F.col("_was") != F.col("start_time")) & (F.col("start_time") != 0), F.lit(False))
     add = F.when(reset, F.col("before")).otherwise(0.0)
-    live = live.withColumn("shift", F.sum(F.coalesce(add, F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at = live.select(*by, F.explode(_between(F.col("t"), F.col("t") + (window - 1), start, step, count)).alias("k"), "t", "cursor", "value", "shift", "_twin")
-    order = F.struct("t", "cursor")
-    pick = F.struct("t", "value", "shift")
-    per = at.groupBy(*by, "k").agg(F.count("*").alias("n"), F.min_by(pick, order).alias("a"), F.max_by(pick, order).alias("b"), F.count_if("_twin").alias("_twins"), F.min_by("_twin", order).alias("_first_twin")).where("n >= 2")
-    twins = F.col("_twins") - F.col("_first_twin").cast("long") > 0
+    running = w.rowsBetween(Window.unboundedPreceding, 0)
+    live = live.withColumn("shift", F.sum(F.coalesce(add, F.lit(0.0))).over(running)).withColumn("i", F.row_number().over(w)).withColumn("_twins", F.sum(F.col("_twin").cast("long")).over(running))
+    per = _ends(live, by, start, step, count, window, ["t", "value", "shift", "i", "_twins"]).where("b.i > a.i").withColumn("n", F.col("b.i") - F.col("a.i") + 1)
+    twins = F.col("b._twins") > F.col("a._twins")
     change = (F.col("b.value") + F.col("b.shift")) - (F.col("a.value") + F.col("a.shift"))
     nano = F.lit(float(NANO))
     per = per.select(*by, "k", "n", change.alias("change"), F.col("a.value").alias("first"), ((F.col("b.t") - F.col("a.t")) / nano).alias("sampled"), ((F.col("a.t") - (F.lit(start - window) + F.col("k") * step)) / nano).alias("before"), ((F.lit(start) + F.col("k") * step - F.col("b.t")) / nano).alias("after"), twins.alias("twins"))
