@@ -71,10 +71,13 @@ def release_memory() -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests, a temporary one is set.
+    Only where a local session names none, as in tests, a temporary one is set; a
+    cluster's executors would not share one, so there it is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="heliograph-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
