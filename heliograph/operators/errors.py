@@ -10,6 +10,9 @@ from heliograph.functions.values import json_at, json_text
 #: Parts of a message that vary from one occurrence to the next: UUIDs, hex numbers, numbers.  A fixed value: fingerprints must agree.
 VOLATILE = r"(?iU)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b|\b0x[0-9a-f]+\b|\b\d+(?:\.\d+)?\b"
 MAX_VERSIONS, SAMPLES = 100, 3
+#: Records that one page of the feed takes at most.
+FEED_PAGE = 500
+SHARES = 64
 
 
 def fingerprint(text: Column) -> Column:
@@ -56,6 +59,33 @@ def groups(errors: DataFrame) -> DataFrame:
     return main.join(samples, "group_id")
 
 
+def versions(errors: DataFrame, version: Column, most: int = MAX_VERSIONS) -> DataFrame:
+    """group_id and the sorted versions it was seen with: the first `most` by the cursor of their first sighting.
+
+    Records without a version (null) add none; a group without any has no row.
+    A group's versions are cut to `most` in each of its shares first, so no task
+    sorts all versions of a group.
+    """
+    first = errors.withColumn("_version", version).where("_version IS NOT NULL").groupBy("group_id", "_version").agg(F.min("cursor").alias("_first"))
+    for by in (["group_id", F.pmod(F.xxhash64("_version"), F.lit(SHARES))], ["group_id"]):
+        first = first.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy("_first", "_version"))).where(F.col("_k") <= most).drop("_k")
+    return first.groupBy("group_id").agg(F.sort_array(F.collect_list("_version")).alias("versions"))
+
+
+def feed(logs: DataFrame, after: int, most: int = FEED_PAGE) -> tuple[DataFrame, int]:
+    """Errors among the next page of records past the cursor `after`, and the cursor to go on from.
+
+    Whoever stores the cursor with the page's results takes each record exactly
+    once; past the last record the page is empty and the cursor stays.
+    """
+    if not 1 <= most <= FEED_PAGE:
+        raise ValueError(f"a page holds 1 to {FEED_PAGE} records")
+    ahead = logs.where(F.col("cursor") > after)
+    end = ahead.select("cursor").orderBy("cursor").limit(most).agg(F.max("cursor")).first()[0]
+    end = after if end is None else end
+    return classified(ahead.where(F.col("cursor") <= end)), end
+
+
 def recurrence(errors: DataFrame, changes: DataFrame) -> DataFrame:
     """Status of each group after status changes (group_id, cursor, status).
 

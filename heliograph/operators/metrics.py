@@ -39,6 +39,16 @@ def limit_cardinality(points: DataFrame, identity: list[str], scope: list[str],
     return points.join(ranked, [*scope, *identity])
 
 
+def fold_overflow(points: DataFrame, identity: list[str], scope: list[str], most: int = MAX_SERIES) -> DataFrame:
+    """Points where those beyond the first `most` series of a scope have lost their identity (null) and carry `overflow`.
+
+    So all of them are one series of the scope's name, unit and temporality, of
+    which whatever groups by scope, identity and overflow makes one row.
+    """
+    marked = limit_cardinality(points, identity, scope, most)
+    return marked.withColumns({c: F.when(~F.col("overflow"), F.col(c)) for c in identity})
+
+
 def _order() -> list[str]:
     return ["t", "cursor"]
 

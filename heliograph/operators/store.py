@@ -109,3 +109,18 @@ def rebuilt_differs(live: DataFrame, rebuilt: DataFrame, value: Column, by: list
     a, b = (set_digest(x, value, by) for x in (live, rebuilt))
     b = b.select(*by, F.col("digest").alias("rebuilt"), F.col("n").alias("rebuilt_n"))
     return a.join(b, by, "full").where(~F.col("digest").eqNullSafe(F.col("rebuilt")) | ~F.col("n").eqNullSafe(F.col("rebuilt_n")))
+
+
+SOURCE_ROWS, SOURCE_BYTES = 250_000, 64 << 20
+
+
+def within_budget(rows: DataFrame, most: int = SOURCE_ROWS, size: int = SOURCE_BYTES) -> DataFrame:
+    """The rows themselves, if a request may load them: at most `most` rows and `size` bytes as JSON, else an error.
+
+    Not more than `most` + 1 rows are counted and weighed.
+    """
+    some = rows.select(F.octet_length(F.to_json(F.struct("*"))).alias("n")).limit(most + 1)
+    count, held = some.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if count > most or held > size:
+        raise ValueError(f"the request needs more than {most} rows or {size} bytes: narrow it")
+    return rows

@@ -21,6 +21,18 @@ def valid(spans: DataFrame) -> DataFrame:
     return spans.where("stop >= start").withColumn("operation", F.when(F.trim("operation") == "", F.col("span_id")).otherwise(F.coalesce("operation", "span_id")))
 
 
+MAX_SPANS = 100_000
+
+
+def newest(spans: DataFrame, most: int = MAX_SPANS) -> DataFrame:
+    """The `most` deliveries of largest cursor, and any that share the last one's cursor.
+
+    Only cursors are sorted; the rows are filtered by the least that stays.
+    """
+    least = spans.select("cursor").orderBy(F.col("cursor").desc()).limit(most).agg(F.min("cursor")).first()[0]
+    return spans.where(F.col("cursor") >= F.lit(least))
+
+
 def latest(spans: DataFrame) -> DataFrame:
     """The delivery of largest cursor of each span, and whether there were others (`conflict`)."""
     rest = [c for c in spans.columns if c not in (*KEY, "span_id")]

@@ -164,6 +164,17 @@ def _(spark, d):
     return per.groupBy("service", "overflow").agg(F.sum("n").alias("points"), F.count("*").alias("series"))
 
 
+@query(
+    "metric_overflow_fold",
+    G + """, f AS (SELECT service, trace_id, min(cursor) AS first FROM gauges GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY service ORDER BY first) > 50 AS overflow FROM f)
+SELECT service, CASE WHEN overflow THEN 'overflow' ELSE trace_id END AS series, overflow, count(*) AS points, min(cursor) AS first_cursor, max(cursor) AS last_cursor FROM gauges JOIN r USING (service, trace_id) GROUP BY ALL""",
+)
+def _(spark, d):
+    folded = metrics.fold_overflow(views.gauges(spark, d), ["trace_id"], ["service"], 50)
+    per = folded.groupBy("service", "trace_id", "overflow").agg(F.count("*").alias("points"), F.min("cursor").alias("first_cursor"), F.max("cursor").alias("last_cursor"))
+    return per.select("service", F.coalesce("trace_id", F.lit("overflow")).alias("series"), "overflow", "points", "first_cursor", "last_cursor")
+
+
 @query("metric_select", G + f"SELECT service, bucket, cursor, stale FROM gauges WHERE service = 'view' AND bucket = '1' AND t >= {100 * NANO} AND t < {2000 * NANO}")
 def _(spark, d):
     g = views.gauges(spark, d)
@@ -347,6 +358,11 @@ def _(spark, d):
     return _spans(spark, d).select("trace_id", "span_id", "parent_id", "start", "stop", "operation", "cursor", "conflict")
 
 
+@query("trace_retention", T + ", kept AS (SELECT * FROM spans QUALIFY rank() OVER (ORDER BY cursor DESC) <= 500) SELECT trace_id, span_id, max(cursor) AS cursor, count(*) > 1 AS conflict FROM kept GROUP BY ALL")
+def _(spark, d):
+    return traces.latest(traces.newest(traces.valid(views.spans(spark, d)), 500)).select("trace_id", "span_id", "cursor", "conflict")
+
+
 @query(
     "trace_summary",
     TP + """SELECT trace_id, count(*) AS n_spans, max(stop) - min(start) AS duration, coalesce(string_agg(span_id, ',' ORDER BY span_id) FILTER (root), '') AS roots, CAST(count(*) FILTER (missing) AS BIGINT) AS missing,
@@ -477,6 +493,19 @@ def _(spark, d):
     return out.select("group_id", "environment", "service", "fingerprint", "count", "first_seen", "last_seen", "first_cursor", "last_cursor", F.array_join(F.col("samples").cast("array<string>"), ",").alias("samples"))
 
 
+@query("error_versions", ERR + """, f AS (SELECT group_id, trace_id AS version, min(cursor) AS first FROM ids GROUP BY ALL), v AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY first, version) <= 100)
+SELECT group_id, string_agg(version, ',' ORDER BY version) AS versions FROM v GROUP BY 1""")
+def _(spark, d):
+    found = errors.versions(errors.classified(views.logs(spark, d)), F.col("trace_id"))
+    return found.select("group_id", F.array_join("versions", ",").alias("versions"))
+
+
+@query("error_feed", ERR + ", page AS (SELECT max(cursor) AS until FROM (SELECT cursor FROM logs WHERE cursor > 250 ORDER BY cursor LIMIT 500)) SELECT cursor, group_id, fingerprint, until FROM ids, page WHERE cursor > 250 AND cursor <= until")
+def _(spark, d):
+    page, until = errors.feed(views.logs(spark, d), 250)
+    return page.select("cursor", "group_id", "fingerprint", F.lit(until).cast("long").alias("until"))
+
+
 @query("error_recurrence", ERR + """, ch AS (SELECT group_id, min(cursor) + 1000 AS cursor, 'resolved' AS what FROM ids GROUP BY 1), u AS (SELECT group_id, cursor, 'seen' AS what FROM ids UNION ALL SELECT * FROM ch),
 o AS (SELECT *, lag(what) OVER (PARTITION BY group_id ORDER BY cursor, CASE WHEN what = 'seen' THEN 1 ELSE 0 END) AS before FROM u)
 SELECT group_id, CASE WHEN arg_max(what, cursor * 2 + CASE WHEN what = 'seen' THEN 1 ELSE 0 END) = 'seen' THEN 'open' ELSE 'resolved' END AS status, CAST(count(*) FILTER (what = 'seen' AND before = 'resolved') AS BIGINT) AS recurrence_count, coalesce(max(cursor) FILTER (what = 'seen' AND before = 'resolved'), -1) AS recurrence_cursor FROM o GROUP BY group_id""")

@@ -373,3 +373,43 @@ def test_scraped_histograms(spark):
     assert {r.name: r.counter for r in out.where("error IS NULL").collect()} == {"h_bucket": True, "h_count": True, "h_sum": True, "g_bucket": True, "g_count": True, "ok": False}
     assert out.where("error IS NOT NULL").count() == 2 and out.where("name = 'ok'").first()["timestamp"] == -5
     assert [(r.family, r.problem) for r in lines.scraped_histogram_problem(out.where("error IS NULL"), ["scrape"]).collect()] == [("g", "buckets fall")]
+
+
+def test_source_budget(spark):
+    rows = spark.range(100)
+    assert store.within_budget(rows, 100).count() == 100
+    assert store.within_budget(rows.limit(0), 1).count() == 0
+    for limits in ({"most": 99}, {"size": 10}):
+        with pytest.raises(ValueError, match="narrow it"):
+            store.within_budget(rows, **limits)
+
+
+def test_error_feed_takes_each_record_once(spark):
+    rows = [(c, "p", "e", "s", "ERROR" if c % 3 else "INFO", f"failed {c}") for c in range(1, 24)]
+    logs = spark.createDataFrame(rows, "cursor long, project string, environment string, service string, severity string, body string")
+    seen, at = [], 0
+    while True:
+        page, end = errors.feed(logs, at, 5)
+        if end == at:
+            assert page.isEmpty()
+            break
+        seen += [r["cursor"] for r in page.collect()]
+        at = end
+    assert (sorted(seen), at) == ([c for c in range(1, 24) if c % 3], 23)
+    with pytest.raises(ValueError):
+        errors.feed(logs, 0, 501)
+
+
+def test_first_versions_stay(spark):
+    rows = [("g", c, v) for c, v in enumerate(["b", "a", None, "b", "c", "d"])] + [("h", 9, None)]
+    found = errors.versions(spark.createDataFrame(rows, "group_id string, cursor long, v string"), F.col("v"), 3).collect()
+    assert [(r["group_id"], r["versions"]) for r in found] == [("g", ["a", "b", "c"])]
+
+
+def test_newest_spans_and_overflow_fold(spark):
+    spans = spark.createDataFrame([(1,), (5,), (3,), (3,)], "cursor long")
+    assert sorted(r[0] for r in traces.newest(spans, 2).collect()) == [3, 3, 5]
+    assert traces.newest(spans.limit(0), 2).count() == 0
+    points = spark.createDataFrame([("p", s, c) for c, s in enumerate("abcacd")], "project string, series string, cursor long")
+    got = metrics.fold_overflow(points, ["series"], ["project"], 2).groupBy("series", "overflow").count().collect()
+    assert {(r[0], r[1], r[2]) for r in got} == {("a", False, 2), ("b", False, 1), (None, True, 3)}
