@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import id_and_text, release_memory, words_of, worker_cache
+from heliograph.llm.common import id_and_text, materialize, release_memory, shared, words_of, worker_cache
 
 WINDOW, SEED_WORDS = 13, 5
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -109,17 +109,22 @@ class _Block:
         return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in longs), *(pa.array(x.astype(np.int32)) for x in ints), blob], ["route", "doc_id", "doc_key", "begin", "ahead", "mask", "checks"])
 
 
-def _seed_rows(window: int, seed_words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+def _text_key(text: str, keyed: bool) -> int:
+    """Tells the texts of one id apart, where an id has several."""
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF if keyed else 0
 
+
+def _seed_rows(window: int, seed_words: int, keyed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 if doc is None or len(words) < window:
                     continue
-                block.add(doc, xxhash.xxh3_64_intdigest(text) & 0x7FFFFFFF, word_hashes(words), window, seed_words)
+                block.add(doc, _text_key(text, keyed), word_hashes(words), window, seed_words)
                 if block.held > COMBINE:
                     yield block.rows()
         if block.held:
@@ -178,26 +183,67 @@ def _extend():
     return run
 
 
-def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed_words: int = SEED_WORDS) -> DataFrame:
+def repeated_windows(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, seed_words: int = SEED_WORDS, keyed: bool = True) -> DataFrame:
     """doc_id, doc_key, begin, mask: windows that also start in a document with a smaller id.
 
     Bit i of the mask stands for the window at word begin + i.  One row for each
-    seed whose windows were extended to a match.  One shuffle, by seed.
+    seed whose windows were extended to a match.  One shuffle, by seed.  Without
+    `keyed` no id may have two rows, and doc_key is 0.
     """
-    rows = id_and_text(df, id_col, text_col).mapInArrow(_seed_rows(window, seed_words), _ROWS)
+    rows = id_and_text(df, id_col, text_col).mapInArrow(_seed_rows(window, seed_words, keyed), _ROWS)
     return rows.repartition("route").sortWithinPartitions("route", "doc_id").mapInArrow(_extend(), "doc_id long, doc_key long, begin int, mask int")
 
 
-def _packed():
+#: Bits of the filter of ids with hits: 16 for each id, between these bounds.  Beyond the upper one, 16 MB, more texts travel.
+FILTER_BITS, MAX_FILTER_BITS = 1 << 16, 1 << 27
+
+
+def _hit_filter(hits: DataFrame) -> tuple[np.ndarray, Column]:
+    """A bit for every id that has hits, and the column that gives an id's bit; few other ids share it."""
+    ids = hits.select("doc_id").distinct()
+    size = min(MAX_FILTER_BITS, max(FILTER_BITS, 1 << (16 * ids.count() - 1).bit_length()))
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    words = ids.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(b % 64 AS int)))").alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.int64)
+    out[words["w"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return out.view(np.uint64), bit
+
+
+def _has_hits(filter_bits: np.ndarray, bits: pa.Array) -> np.ndarray:
+    at = bits.to_numpy().astype(np.uint64)
+    return (filter_bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+_OUT = "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<from: long, to: long>>"
+_SPANS = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
+
+
+def _whole(get):
+    """Rows of ids without hits keep all words; they are done where they are read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~_has_hits(get(), batch.column(2))))
+            words = [words_of(t) for t in rest.column(1).to_pylist()]
+            kept = pa.array([b" ".join(w).decode("utf-8") for w in words], pa.string())
+            none = pa.array([[]] * len(words), _SPANS)
+            yield pa.RecordBatch.from_arrays([rest.column(0), pa.array(map(len, words), pa.int64()), pa.array([0] * len(words), pa.int64()), kept, none], ["doc_id", "n_words", "n_removed", "kept_text", "removed"])
+
+    return run
+
+
+def _packed(get, keyed: bool):
+    """Rows of the other ids travel to their hits, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
         import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=4)
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            keys = [xxhash.xxh3_64_intdigest(t) & 0x7FFFFFFF for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(map(squeeze.compress, texts), pa.binary())], ["doc_id", "doc_key", "packed"])
+            some = batch.filter(pa.array(_has_hits(get(), batch.column(2))))
+            texts = [t or "" for t in some.column(1).to_pylist()]
+            keys = [_text_key(t, keyed) for t in texts]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(keys, pa.int64()), pa.array((squeeze.compress(t.encode()) for t in texts), pa.binary())], ["doc_id", "doc_key", "packed"])
 
     return run
 
@@ -209,12 +255,12 @@ def _cut(window: int):
         loose = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for packed, begins, masks in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for packed, hits in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = loose.decompress(packed).split()
                 n = len(words)
                 spans: list[tuple[int, int]] = []
-                if begins:
-                    start, mask = np.array(begins), np.array(masks)
+                if hits:
+                    start, mask = np.array(hits) >> 32, np.array(hits) & 0xFFFFFFFF
                     marks = np.zeros(n + 1, np.int64)
                     for bit in range(window):
                         at = start[(mask >> bit) & 1 == 1] + bit
@@ -225,7 +271,7 @@ def _cut(window: int):
                     spans = list(zip(edge[::2].tolist(), edge[1::2].tolist()))
                     words = [w for w, g in zip(words, gone.tolist()) if not g]
                 out.append((n, n - len(words), b" ".join(words).decode("utf-8"), spans))
-            spans = pa.array([[{"from": a, "to": b} for a, b in x[3]] for x in out], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
+            spans = pa.array([[{"from": a, "to": b} for a, b in x[3]] for x in out], _SPANS)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.string()), spans],
                 ["doc_id", "n_words", "n_removed", "kept_text", "removed"],
@@ -240,14 +286,21 @@ def substring_dedup(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     A word goes when a window of `window` words that covers it also starts in a
     row with a smaller id; repeats within one id stay.  A null text has no
     words; a row with a null id neither loses words nor makes others lose them.
-    Repeated rows are judged alike.  Texts travel compressed, once.
+    Repeated rows are judged alike.  Texts of ids that may have hits travel
+    compressed, once; the others don't.
     """
     base = id_and_text(df, id_col, text_col)
-    hits = repeated_windows(base, window=window, seed_words=seed_words)
-    hits = hits.groupBy("doc_id", "doc_key").agg(F.collect_list(F.struct("begin", "mask")).alias("hits"))
-    texts = base.mapInArrow(_packed(), "doc_id long, doc_key long, packed binary")
-    both = texts.join(hits, ["doc_id", "doc_key"], "left").select("doc_id", "packed", F.col("hits.begin").alias("begins"), F.col("hits.mask").alias("masks"))
-    return both.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string, removed array<struct<from: long, to: long>>")
+    repeated = base.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    keyed = not repeated.isEmpty()
+    found = materialize(repeated_windows(base, window=window, seed_words=seed_words, keyed=keyed), "hits")
+    filter_bits, bit = _hit_filter(found)
+    get, placed = shared(base.sparkSession, filter_bits), base.select("doc_id", "text", bit.alias("bit"))
+    whole = placed.mapInArrow(_whole(get), _OUT)
+    # A hit is its first window and its mask in one value: nested columns are four times as large.
+    hits = found.groupBy("doc_id", "doc_key").agg(F.collect_list(F.expr("shiftleft(cast(begin AS long), 32) | mask")).alias("hits"))
+    texts = placed.mapInArrow(_packed(get, keyed), "doc_id long, doc_key long, packed binary")
+    both = texts.join(hits.hint("merge"), ["doc_id", "doc_key"], "left").select("doc_id", "packed", "hits")
+    return whole.unionByName(both.mapInArrow(_cut(window), _OUT))
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple[int | None, int, int, str]]:

@@ -97,6 +97,37 @@ def test_substring_dedup_equals_brute_force(spark, edge_docs, corpus):
         assert got == by_id(substring_dedup.brute_force(rows_of(docs)))
 
 
+def test_substring_dedup_moves_only_texts_with_hits(spark, monkeypatch):
+    """Texts without a hit are done where they are read; those that travel, and those a full filter sends, come out alike."""
+    rng = random.Random(5)
+    shared = " ".join(f"c{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(40)) + (" " + shared if i < 20 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    moved = spark.sparkContext.accumulator(0)
+    cut = substring_dedup._cut
+
+    def counting(window):
+        inner = cut(window)
+
+        def run(batches):
+            for batch in batches:
+                moved.add(batch.num_rows)
+                yield from inner(iter([batch]))
+
+        return run
+
+    monkeypatch.setattr(substring_dedup, "_cut", counting)
+    for full in (False, True):
+        if full:
+            monkeypatch.setattr(substring_dedup, "FILTER_BITS", 64)
+            monkeypatch.setattr(substring_dedup, "MAX_FILTER_BITS", 64)
+        was = moved.value
+        got = substring_dedup.substring_dedup(docs).collect()
+        got = by_id((r.doc_id, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in got)
+        assert got == by_id(substring_dedup.brute_force(rows))
+        assert full or moved.value - was < 25
+
+
 def test_substring_dedup_state_crosses_batches(spark, corpus):
     was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
