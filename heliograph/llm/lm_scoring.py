@@ -11,15 +11,17 @@ In each text the predictors go on learning, from chunk to chunk: the first two
 contexts add what this text taught them, the mixing weights (in sets gated by
 how well known the contexts are) follow the coding error, and a last stage maps
 the mixed probability to what came of such probabilities so far.  Every text
-starts from the same state, fitted on training rows, so a score depends on the
-training rows and the text alone.
+starts from the same state, so a score depends on the training rows and the text
+alone.  The first weights are fitted on every bit of every training row: a pass
+counts how often the contexts' evidence, in steps and without the bit itself,
+comes together, and Newton steps go over these counts.  So are the letters.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +50,12 @@ RATE, LEARN, REFINE = np.float32(0.002), np.float32(0.15), np.float32(0.02)
 #: Slots of a text's own table for the word before; places of the last stage for each bit of a token.
 OWN = 1 << 11
 PLACES = 24
-#: Training texts that the first weights and the letter table are fitted on at most, and the characters each may have.
-FITTED, FITTED_CHARS = 256, 20_000
+#: Steps of a context's evidence, and the bend of their scale, in the histogram that the first weights are fitted on.
+STEPS, BEND = 12, math.asinh(6.0) / 12
+LEVELS = 2 * STEPS + 1
+#: What the codes of the contexts count: evidence, and for the two hashed ones how well they are known.
+CODES = (LEVELS, 3 * LEVELS, 4 * LEVELS, LEVELS)
+CELLS = math.prod(CODES)
 #: Weights that the fit starts from, by context, where its counts are many.
 START = (0.12, 0.4, 0.75, 0.55)
 _PHI, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -122,17 +128,33 @@ def context_slots(h: np.ndarray, lengths: np.ndarray, common: np.ndarray) -> tup
     return [np.zeros(0, np.uint32), _fold(one), _fold(one * np.uint64(0xC2B2AE3D27D4EB4F) + two), topic], (h & np.uint64((1 << BITS) - 1)).astype(np.uint32)
 
 
+def letter_pairs(words: list[bytes], times: np.ndarray) -> np.ndarray:
+    """How often a byte follows another in words that come so many times, a line break before and after each; the end of a text is no word."""
+    raw = np.frombuffer(END + END.join(words) + END, np.uint8)
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    each = np.repeat(np.where(np.fromiter((w != END for w in words), bool, len(words)), times, 0), size)
+    return np.bincount(raw[:-1].astype(np.int64) << 8 | raw[1:], weights=each, minlength=1 << 16).astype(np.int64) if words else np.zeros(1 << 16, np.int64)
+
+
 def _count_words():
+    """Rows of kind 0: words and their counts; of kind 1: pairs of bytes and theirs."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         seen: Counter[bytes] = Counter()
+        pairs = np.zeros(1 << 16, np.int64)
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(np.fromiter(map(xxhash.xxh3_64_intdigest, seen), np.uint64, len(seen)).view(np.int64)), pa.array(np.fromiter(seen.values(), np.int64, len(seen)))], ["h", "c"])
+            words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+            pairs[:] += letter_pairs(words, times)
+            out = rows(0, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64), times)
             seen.clear()
             return out
 
+        def rows(kind: int, h: np.ndarray, c: np.ndarray):
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(c)], ["kind", "h", "c"])
+
         for batch in batches:
             for text in batch.column(1).to_pylist():
                 seen.update(words_of(text, lower=True))
@@ -141,37 +163,124 @@ def _count_words():
                 yield flush()
         if seen:
             yield flush()
+        met = np.flatnonzero(pairs)
+        yield rows(1, met, pairs[met])
 
     return run
 
 
 def _count_bits(common: np.ndarray, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import zstandard
         from pyspark import TaskContext
 
         table = np.zeros(2 * layout.total, np.uint32)
+        leaves = np.zeros((COMMON + 1) << BITS, np.uint32)
         used = False
         for batch in batches:
             for _, lengths, h, _ in _token_slices(batch.column(1).to_pylist()):
                 used = True
                 bases, code = context_slots(h, lengths, common)
+                np.add.at(leaves, (bases[3].astype(np.int64) << BITS) + code, np.uint32(1))
                 node = np.ones(len(h), np.uint32)
                 for level in range(BITS):
                     bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
-                    for c in range(CONTEXTS):
+                    for c in (1, 2):
                         np.add.at(table, 2 * layout.slot(c, bases[c], node) + bit, np.uint32(1))
                     node = node * np.uint32(2) + bit
+        # The other two contexts have a place for every code: their nodes are sums of those.
+        for c, own in ((0, leaves.reshape(-1, 1 << BITS).sum(0, dtype=np.uint32)[None, :]), (3, leaves.reshape(-1, 1 << BITS))):
+            part = table[2 * layout.bases[c] : 2 * (layout.bases[c] + layout.sizes[c])].reshape(len(own), 2 << BITS)
+            for level in range(BITS):
+                part[:, 2 << level : 4 << level] = own.reshape(len(own), 2 << level, -1).sum(2, dtype=np.uint32)
+        if used:
+            yield from _blocks(table, TaskContext.get().partitionId() // FAN_IN)
+
+    return run
+
+
+def _blocks(table: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
+    """A task's counts, block by block, without empty ones."""
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor(level=1)
+    for block in range(0, len(table), BLOCK):
+        part = table[block : block + BLOCK]
+        if part.any():
+            yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([group], pa.int32()), pa.array([squeeze.compress(part.astype(np.uint64).tobytes())], pa.binary())], ["block", "part", "counts"])
+
+
+def evidence_codes(counts: np.ndarray, layout: Layout) -> np.ndarray:
+    """For each slot and each bit that may come there: the code of what the slot says for it, with this one bit taken out of its counts."""
+    out = np.empty(2 * layout.total, np.uint8)
+    for c in range(CONTEXTS):
+        begin, end = 2 * layout.bases[c], 2 * (layout.bases[c] + layout.sizes[c])
+        for at in range(begin, end, 1 << 20):
+            pair = counts[at : min(end, at + (1 << 20))].astype(np.float32).reshape(-1, 2)
+            for bit in (0, 1):
+                came, other = np.maximum(pair[:, bit] - 1, 0), pair[:, 1 - bit]
+                says = np.log(came + np.float32(0.4)) - np.log(other + np.float32(0.4))
+                code = np.clip(np.rint(np.arcsinh(says / 2) / BEND), -STEPS, STEPS).astype(np.int64) + STEPS
+                if c in (1, 2):
+                    code += LEVELS * np.minimum(np.digitize(came + other, [1, 4, 32]), c + 1)
+                out[at + bit : at + 2 * len(pair) : 2] = code
+    return out
+
+
+def _count_cells(common: np.ndarray, layout: Layout, get):
+    """How often the four contexts' codes come together, over all bits of all rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        codes, cells, used = get(), np.zeros(CELLS, np.uint32), False
+        for batch in batches:
+            for _, lengths, h, _ in _token_slices(batch.column(1).to_pylist()):
+                used = True
+                np.add.at(cells, cells_of(codes, layout, *context_slots(h, lengths, common)), np.uint32(1))
         if used:
-            squeeze, group = zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() // FAN_IN
-            for block in range(0, 2 * layout.total, BLOCK):
-                part = table[block : block + BLOCK]
-                if part.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([group], pa.int32()), pa.array([squeeze.compress(part.astype(np.uint64).tobytes())], pa.binary())], ["block", "part", "counts"])
+            yield from _blocks(cells, TaskContext.get().partitionId() // FAN_IN)
 
     return run
 
 
+def cells_of(codes: np.ndarray, layout: Layout, bases: list[np.ndarray], code: np.ndarray) -> np.ndarray:
+    """The cell of every bit of tokens."""
+    node, out = np.ones(len(code), np.uint32), np.zeros((BITS, len(code)), np.int64)
+    for level in range(BITS):
+        bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
+        for c in (2, 1, 0, 3):
+            out[level] *= CODES[c]
+            out[level] += codes.take(2 * layout.slot(c, bases[c], node) + bit)
+        node = node * np.uint32(2) + bit
+    return out.ravel()
+
+
+def fitted_weights(cells: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Weight sets that maximise the likelihood of all counted bits, by Newton steps from the fixed start."""
+    out = _start_weights().astype(np.float64)
+    at = np.flatnonzero(cells)
+    rest, last = np.divmod(at, CODES[3])
+    rest, none = np.divmod(rest, CODES[0])
+    two, one = np.divmod(rest, CODES[1])
+    says = [2 * np.sinh(BEND * (k % LEVELS - STEPS)) for k in (none, one, two, last)]
+    gate, times = one // LEVELS + 3 * (two // LEVELS), cells[at].astype(np.float64)
+    for g in range(GATES):
+        mine = gate == g
+        x, n, start, w = np.stack([v[mine] for v in says], 1), times[mine], out[g].copy(), out[g].copy()
+        loss = lambda w: float((n * np.logaddexp(0, -(x @ w))).sum() + 0.5 * ((w - start) ** 2).sum())
+        now = loss(w)
+        for _ in range(rounds):
+            miss = 1 / (1 + np.exp(np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (n * miss * (1 - miss))[:, None]).T @ x + np.eye(CONTEXTS), x.T @ (n * miss) - (w - start))
+            while loss(w + step) > now and np.abs(step).max() > 1e-6:
+                step /= 2
+            if np.abs(step).max() <= 1e-6:
+                break
+            w, now = w + step, loss(w + step)
+        out[g] = w
+    return out.astype(np.float32)
+
+
 def _add_blocks():
     """Sums of blocks, streamed: rows come sorted by block, one block is held."""
 
@@ -202,7 +311,7 @@ def _add_blocks():
 class Model:
     """What scoring needs of the training rows; every part has a bound, and only the joined word counts grow on."""
 
-    def __init__(self, tokens: int, distinct: int, head: np.ndarray, head_counts: np.ndarray, buckets: np.ndarray, common: np.ndarray, counts: np.ndarray, layout: Layout, texts: list[str] = []):
+    def __init__(self, tokens: int, distinct: int, head: np.ndarray, head_counts: np.ndarray, buckets: np.ndarray, common: np.ndarray, counts: np.ndarray, layout: Layout, pairs: Sequence[int] = (), weights: np.ndarray | None = None):
         self.tokens, self.distinct, self.head, self.head_counts, self.common, self.layout = tokens, distinct, head, head_counts, common, layout
         self.bucket_cost = np.log10(buckets + 1.0)
         self.stretch, self.known = np.empty(layout.total, np.float32), np.empty(layout.total, np.uint8)
@@ -210,35 +319,8 @@ class Model:
             zero, one = (counts[2 * begin + k : 2 * begin + (2 << 20) : 2].astype(np.float32) for k in (0, 1))
             self.stretch[begin : begin + (1 << 20)] = np.log(one + np.float32(0.4)) - np.log(zero + np.float32(0.4))
             self.known[begin : begin + (1 << 20)] = np.digitize(zero + one, [1, 4, 32])
-        self.weights = _start_weights()
-        self.letters = _letters(texts)
-        if texts:
-            self.weights = self._fitted(counts, texts)
-
-    def _fitted(self, counts: np.ndarray, texts: list[str], rounds: int = 40) -> np.ndarray:
-        """First weights by gradient steps over the bits of some training texts, each bit's own count taken out of its contexts."""
-        x, gate, sign = [], [], []
-        for _, lengths, h, _ in _token_slices(texts):
-            bases, code = context_slots(h, lengths, self.common)
-            node = np.ones(len(h), np.uint32)
-            for level in range(BITS):
-                bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
-                pairs = [(counts[2 * at].astype(np.float32) - (bit == 0), counts[2 * at + 1].astype(np.float32) - (bit == 1)) for at in (self.layout.slot(c, bases[c], node) for c in range(CONTEXTS))]
-                x.append(np.stack([np.log(np.maximum(one, 0) + np.float32(0.4)) - np.log(np.maximum(zero, 0) + np.float32(0.4)) for zero, one in pairs]))
-                known = [np.digitize(zero + one, [1, 4, 32]) for zero, one in pairs]
-                gate.append(np.minimum(known[1], 2) + 3 * known[2])
-                sign.append(2 * bit.astype(np.float32) - 1)
-                node = node * np.uint32(2) + bit
-        x, gate, sign = np.concatenate(x, 1), np.concatenate(gate), np.concatenate(sign)
-        w, many = self.weights.astype(np.float64), np.maximum(np.bincount(gate, minlength=GATES), 1)[:, None]
-        square = np.full_like(w, 1e-4)
-        for _ in range(rounds):
-            mixed = np.einsum("ci,ci->i", w.astype(np.float32).T[:, gate], x) * sign
-            miss = sign / (1 + np.exp(np.clip(mixed, -12, 12)))
-            slope = np.stack([np.bincount(gate, weights=miss * x[c], minlength=GATES) for c in range(CONTEXTS)], 1) / many
-            square += slope**2
-            w += 0.1 * slope / np.sqrt(square)
-        return w.astype(np.float32)
+        self.weights = _start_weights() if weights is None else weights
+        self.letters = _letters(pairs)
 
     def spelling(self, words: list[bytes]) -> np.ndarray:
         """Log10 probability of the bytes of words, an end after each, under the letter table."""
@@ -249,12 +331,11 @@ class Model:
         return np.add.reduceat(self.letters[raw[:-1], raw[1:]], np.concatenate(([0], ends[:-1]))).astype(np.float64)
 
 
-def _letters(texts: list[str]) -> np.ndarray:
+def _letters(pairs: Sequence[int]) -> np.ndarray:
     """Log10 probabilities of a byte after another one, a line break before and after each word."""
     counts = np.full((256, 256), 0.05)
-    for text in texts:
-        raw = np.frombuffer(END + END.join(words_of(text, lower=True)) + END, np.uint8)
-        np.add.at(counts, (raw[:-1], raw[1:]), 1)
+    if len(pairs):
+        counts += np.asarray(pairs).reshape(256, 256)
     return np.log10(counts / counts.sum(1, keepdims=True))
 
 
@@ -289,28 +370,34 @@ def bit_scores(model: Model, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     live = np.searchsorted(-chunks, -np.arange(steps), side="left")  # texts with more than so many chunks
     offset = np.concatenate(([0], np.cumsum(live)))
     within = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ranks = np.repeat(rank, lengths)
-    place = (offset[within // CHUNK] + ranks) * CHUNK + within % CHUNK  # of each token in the padded layout
+    place = (offset[within // CHUNK] + np.repeat(rank, lengths)) * CHUNK + within % CHUNK  # of each token in the padded layout
     padded = int(offset[-1]) * CHUNK
-    x = np.zeros((CONTEXTS, BITS, padded), np.float32)
-    sign = np.zeros((BITS, padded), np.float32)  # 0 where nothing is
-    gate = np.zeros((BITS, padded), np.int32)
-    own = np.zeros((2, BITS, padded), np.int32)  # places in the texts' own tables
-    node = np.ones(len(h), np.uint32)
+    # Tokens move to their places once; what lies between texts counts for nothing (sign 0).
+    def placed(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(padded, values.dtype)
+        out[place] = values
+        return out
+
+    there, code, bases = placed(np.ones(len(h), np.float32)), placed(code), [bases[0], *map(placed, bases[1:])]
+    owner = np.repeat(np.arange(int(offset[-1])) - np.repeat(offset[:-1], live), CHUNK).astype(np.int32)
+    x = np.empty((CONTEXTS, BITS, padded), np.float32)
+    sign = np.empty((BITS, padded), np.float32)
+    gate = np.empty((BITS, padded), np.int32)
+    own = np.empty((2, BITS, padded), np.int32)  # places in the texts' own tables
+    node = np.ones(padded, np.uint32)
     for level in range(BITS):
         bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
-        sign[level, place] = 2 * bit.astype(np.float32) - 1
-        gates = ranks * GATES
+        sign[level] = (2 * bit.astype(np.float32) - 1) * there
+        np.multiply(owner, GATES, out=gate[level])
         for c in range(CONTEXTS):
             slot = model.layout.slot(c, bases[c], node)
-            x[c, level, place] = model.stretch.take(slot)
+            model.stretch.take(slot, out=x[c, level], mode="clip")
             if c == 1:
-                gates += np.minimum(model.known.take(slot), 2)
-                own[1, level, place] = ranks * OWN + (slot & (OWN - 1))
+                gate[level] += np.minimum(model.known.take(slot), 2)
+                own[1, level] = owner * OWN + (slot & (OWN - 1))
             elif c == 2:
-                gates += 3 * model.known.take(slot)
-        gate[level, place] = gates
-        own[0, level, place] = (ranks << BITS) + node
+                gate[level] += 3 * model.known.take(slot)
+        own[0, level] = (owner << BITS) + node.view(np.int32)
         node = node * np.uint32(2) + bit
     weights = np.ascontiguousarray(np.tile(model.weights, (len(lengths), 1)).T)
     learnt = np.zeros(len(lengths) << BITS, np.float32), np.zeros(len(lengths) * OWN, np.float32)
@@ -391,7 +478,12 @@ def _score(get):
 def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     """The bounded model and the whole table (h, c) of training counts of (doc_id, text) rows."""
     spark = rows.sparkSession
-    counts = materialize(rows.select("doc_id", "text").mapInArrow(_count_words(), "h long, c long").groupBy("h").agg(F.sum("c").alias("c")), "token_counts")
+    counted = rows.select("doc_id", "text").mapInArrow(_count_words(), "kind int, h long, c long").groupBy("kind", "h").agg(F.sum("c").alias("c"))
+    counted = materialize(counted, "token_counts")
+    counts = counted.where("kind = 0").select("h", "c")
+    pairs = np.zeros(1 << 16, np.int64)
+    for r in counted.where("kind = 1").select("h", "c").collect():
+        pairs[r["h"]] = r["c"]
     ranks = counts.groupBy(F.floor(F.log2("c")).alias("k")).agg(F.count("*").alias("n"), F.sum("c").alias("c")).collect()
     tokens, distinct = sum(r["c"] for r in ranks), sum(r["n"] for r in ranks)
     size, least = 0, 1 << 62
@@ -407,21 +499,29 @@ def train(rows: DataFrame) -> tuple[Model, DataFrame]:
     buckets = np.zeros(1 << BITS)
     for r in counts.groupBy(F.col("h").bitwiseAND((1 << BITS) - 1).alias("b")).agg((F.sum("c") + F.count("*")).alias("n")).collect():
         buckets[r["b"]] = r["n"]
-    schema, layout = "block int, part int, counts binary", layout_for(tokens)
-    bits = rows.select("doc_id", "text").mapInArrow(_count_bits(common, layout), schema)
-    for _ in range(2):
-        bits = bits.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_add_blocks(), schema)
-    table = np.zeros(2 * layout.total + BLOCK, np.uint32)
+    layout = layout_for(tokens)
+    # Counts are kept up to 2**31: more change no probability that is coded.
+    table = _summed(rows.select("doc_id", "text").mapInArrow(_count_bits(common, layout), _BLOCKS), 2 * layout.total)
+    get = shared(spark, evidence_codes(table, layout))
+    cells = _summed(rows.select("doc_id", "text").mapInArrow(_count_cells(common, layout, get), _BLOCKS), CELLS, np.uint64)
+    return Model(tokens, distinct, keys, times, buckets, common, table, layout, pairs, fitted_weights(cells)), counts
+
+
+_BLOCKS = "block int, part int, counts binary"
+
+
+def _summed(blocks: DataFrame, size: int, kind: type = np.uint32) -> np.ndarray:
+    """The tasks' blocks added up; sums of the narrow kind up to 2**31."""
     import zstandard
 
-    loose = zstandard.ZstdDecompressor()
-    for r in materialize(bits, "bit_counts").toLocalIterator():
+    for _ in range(2):
+        blocks = blocks.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(_add_blocks(), _BLOCKS)
+    loose, out = zstandard.ZstdDecompressor(), np.zeros(size, kind)
+    for r in materialize(blocks, "counts").toLocalIterator():
         part = np.frombuffer(loose.decompress(bytes(r["counts"])), np.uint64)
         place = slice(r["block"] * BLOCK, r["block"] * BLOCK + len(part))
-        # Counts are kept up to 2**31: more change no probability that is coded.
-        table[place] = np.minimum(table[place] + part, 1 << 31)
-    some = rows.where(F.length("text").between(1, FITTED_CHARS)).orderBy(F.xxhash64("text"), "text").limit(FITTED).collect()
-    return Model(tokens, distinct, keys, times, buckets, common, table[: 2 * layout.total], layout, [r["text"] for r in some]), counts
+        out[place] = np.minimum(out[place] + part, 1 << 31) if kind is np.uint32 else part + out[place]
+    return out
 
 
 def score(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", parts: int = 7, held: int = 2) -> DataFrame:

@@ -104,6 +104,61 @@ def test_tables_grow_with_the_tokens():
     assert [lm.layout_for(n).slot_bits for n in (0, 10**6, 10**7, 10**9)] == [18, 18, 20, 22]
 
 
+def test_first_weights_and_letters_come_from_every_training_row(spark, monkeypatch):
+    """Every bit of every row is in the fit, those of long texts and of more than a few hundred too; letters are counted over all words."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 900, n)) for n in [*rng.integers(0, 40, 700), 9000]] + [None, "Zz zz"]
+    seen, fit = [], lm.fitted_weights
+    monkeypatch.setattr(lm, "fitted_weights", lambda cells: seen.append(cells) or fit(cells))
+    model, _ = lm.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3))
+    cut = [words_of(t, lower=True) for t in texts]
+    assert int(seen[0].sum()) == lm.BITS * model.tokens == lm.BITS * sum(len(words) + 1 for words in cut)
+    pairs = Counter(p for words in cut for w in words for p in zip(b"\n" + w, w + b"\n"))
+    counts = np.full((256, 256), 0.05)
+    for p, n in pairs.items():
+        counts[p] += n
+    assert np.allclose(model.letters, np.log10(counts / counts.sum(1, keepdims=True)))
+
+
+def test_cells_equal_the_plain_form():
+    """Evidence without the bit itself, from counts of these very texts; the tables' sums for nodes as well."""
+    rng = np.random.default_rng(7)
+    texts = [rng.integers(0, 30, n).astype(np.uint64) * np.uint64(7919) for n in (1, 40, 90)]
+    h, lengths, common = np.concatenate(texts), np.array(list(map(len, texts))), np.sort(np.unique(np.concatenate(texts))[:6])
+    bases, code = lm.context_slots(h, lengths, common)
+    counts, bits = np.zeros(2 * SMALL.total, np.uint32), []
+    for i in range(len(h)):
+        node = 1
+        for level in range(lm.BITS):
+            bit = int(code[i]) >> (lm.BITS - 1 - level) & 1
+            bits.append((level, i, [int(SMALL.slot(c, bases[c][i : i + 1], np.array([node], np.uint32))[0]) for c in range(lm.CONTEXTS)], bit))
+            for at in bits[-1][2]:
+                counts[2 * at + bit] += 1
+            node = 2 * node + bit
+    got = lm.cells_of(lm.evidence_codes(counts, SMALL), SMALL, bases, code).reshape(lm.BITS, -1)
+    for level, i, at, bit in bits:
+        pairs = [(int(counts[2 * a + bit]) - 1, int(counts[2 * a + 1 - bit])) for a in at]
+        steps = [round(math.asinh(math.log((n + 0.4) / (o + 0.4)) / 2) / lm.BEND) + lm.STEPS for n, o in pairs]
+        known = [sum(n + o >= limit for limit in (1, 4, 32)) for n, o in pairs]
+        one, two = lm.LEVELS * min(known[1], 2) + steps[1], lm.LEVELS * known[2] + steps[2]
+        assert got[level, i] == ((two * lm.CODES[1] + one) * lm.CODES[0] + steps[0]) * lm.CODES[3] + steps[3]
+
+
+def test_fitted_weights_are_the_best():
+    rng = np.random.default_rng(8)
+    cells = np.bincount(rng.integers(0, lm.CELLS, 60_000), minlength=lm.CELLS)
+    w = lm.fitted_weights(cells)
+
+    def loss(w):
+        at = np.flatnonzero(cells)
+        two, one, none, last = np.unravel_index(at, (lm.CODES[2], lm.CODES[1], lm.CODES[0], lm.CODES[3]))
+        x = np.stack([2 * np.sinh(lm.BEND * (k % lm.LEVELS - lm.STEPS)) for k in (none, one, two, last)])
+        gate = one // lm.LEVELS + 3 * (two // lm.LEVELS)
+        return (cells[at] * np.logaddexp(0, -(w.T[:, gate].astype(float) * x).sum(0))).sum() + 0.5 * ((w.astype(float) - lm._start_weights()) ** 2).sum()
+
+    assert all(loss(w) < loss(w + d) for d in 0.02 * rng.standard_normal((20, lm.GATES, lm.CONTEXTS)))
+
+
 def test_learning_within_a_text_pays_off():
     """A text that repeats itself costs less a token the longer it goes on."""
     rng = np.random.default_rng(3)
