@@ -1,4 +1,5 @@
-"""Near duplicates by the similarity of five-word shingles: MinHash bands propose pairs, the exact similarity decides."""
+"""Near duplicates by the similarity of five-word shingles: SimHash fingerprints in vantage-point shards propose pairs,
+MinHash bands those that lie beyond the fingerprints' radius; the exact similarity decides on both."""
 
 from __future__ import annotations
 
@@ -9,11 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import components, id_and_text, materialize, words_of
+from heliograph.llm import simhash_dedup
+from heliograph.llm.common import components, id_and_text, materialize, release_memory, words_of
 from heliograph.llm.substring_dedup import _mix, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Differing bits of fingerprints that the vantage-point shards find: op 6's radius, the largest that trees over 32-bit halves prune at.
+MOST_BITS = 3
 #: A pair of similarity 0.8 meets in no band with probability (1 - 0.8**4)**26, about one in a million.
 BANDS, BAND_ROWS = 26, 4
 #: Members of a bucket, or partners of a node, that one group of rows compares.
@@ -59,31 +63,51 @@ def _bands(grams: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """(u, v) pairs of keys whose fingerprints are equal or linked by vantage-point shards, as stars to the smallest."""
+    by_print = materialize(nodes.groupBy("fp").agg(F.min("key").alias("node")), "fingerprints")
+    equal = nodes.select("key", "fp").join(by_print, "fp").where("key <> node").select(F.col("node").alias("u"), F.col("key").alias("v"))
+    return materialize(equal.unionByName(simhash_dedup.link_table(by_print, most=MOST_BITS)), "proposed")
+
+
 def _sets(bands: bool):
     kinds = [("doc_id", pa.int64()), ("key", pa.int64()), ("bands", pa.list_(pa.int64())) if bands else ("grams", pa.binary())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, values = [], []
+            keys, values, prints = [], [], []
             for text in batch.column(1).to_pylist():
                 grams = shingles(text)
                 keys.append(_key(grams))
                 values.append((_bands(grams) if len(grams) else []) if bands else grams.tobytes())
-            keys = pa.array(np.array(keys, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(values, kinds[2][1])], [k for k, _ in kinds])
+                if bands:
+                    prints.append(simhash_dedup.majority(grams))
+            columns = [batch.column(0), _longs(keys), pa.array(values, kinds[2][1])]
+            yield pa.RecordBatch.from_arrays([*columns, _longs(prints)] if bands else columns, [*(k for k, _ in kinds), *(["fp"] if bands else [])])
+        release_memory()
 
     return run
 
 
-def _unpacked(blobs) -> list[frozenset]:
-    return [frozenset(np.frombuffer(b, np.uint64).tolist()) for b in blobs.to_pylist()]
+def _alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """`similar` of two sorted sets as they travel."""
+    a, b = sorted((np.frombuffer(x, np.uint64) for x in (a, b)), key=len)
+    if len(a) < similarity * len(b):
+        return False
+    common = int((b[np.minimum(b.searchsorted(a), len(b) - 1)] == a).sum()) if len(a) else 0
+    return common >= similarity * (len(a) + len(b) - common)
 
 
 def _verified(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = [i for i, (a, b) in enumerate(zip(_unpacked(batch.column(2)), _unpacked(batch.column(3)))) if similar(a, b, similarity)]
+            at = [i for i in range(batch.num_rows) if _alike(batch.column(2)[i].as_buffer(), batch.column(3)[i].as_buffer(), similarity)]
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(at, pa.int64())) for c in (0, 1)], ["u", "v"])
+        release_memory()
 
     return run
 
@@ -147,25 +171,27 @@ def _across(similarity: float):
 def near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id (smallest doc_id reachable over pairs of `similarity` or more, itself included) of every row.
 
-    Rows of equal shingle sets meet as one node first.  Each node is compared with
-    the smallest node of its buckets; where a bucket's members are not yet in
+    Rows of equal shingle sets meet as one node first.  Nodes whose SimHash
+    fingerprints the vantage-point shards link are compared.  Each node is compared with
+    the smallest node of its buckets as well; where a bucket's members are not yet in
     one component, all its members of different components are compared, block by
     block.  Rows with a null id have component null; empty texts are alike.
     """
     base = id_and_text(df, id_col, text_col)
-    prints = materialize(base.mapInArrow(_sets(True), "doc_id long, key long, bands array<long>"), "shingles")
+    prints = materialize(base.mapInArrow(_sets(True), "doc_id long, key long, bands array<long>, fp long"), "shingles")
     rows = prints.where("doc_id IS NOT NULL")
-    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("fp").alias("fp")), "nodes")
+    proposed = _by_fingerprint(nodes.where("size(bands) > 0"))
     # An id with several texts has several keys: nodes are named by key until the end.
     members = nodes.select(F.col("key").alias("node"), F.explode("bands").alias("bucket"))
     crowds = members.groupBy("bucket").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
     members = materialize(members.join(crowds, "bucket"), "members")
-    wanted = members.select(F.col("node").alias("key")).distinct()
+    wanted = members.select(F.col("node").alias("key")).unionByName(proposed.selectExpr("explode(array(u, v)) AS key")).distinct()
     ids = nodes.join(wanted, "key", "left_semi").select("key", F.col("node").alias("doc_id"))
     sets = base.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_sets(False), "doc_id long, key long, grams binary")
     sets = materialize(sets.join(ids, ["doc_id", "key"], "left_semi").dropDuplicates(["key"]).select(F.col("key").alias("node"), "grams"), "sets")
 
-    pairs = members.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).distinct()
+    pairs = members.where("node <> center").select(F.col("center").alias("u"), F.col("node").alias("v")).unionByName(proposed).distinct()
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(1 << 20)))
     many = pairs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     many = materialize(many, "centers")

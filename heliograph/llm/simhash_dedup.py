@@ -33,7 +33,11 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     grams = map(b" ".join, zip(*(words[i:] for i in range(k))))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - k + 1)
+    return majority(np.fromiter((digest(g, SEED) for g in grams), np.uint64, len(words) - k + 1))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 of none."""
     ones = np.zeros(64, np.int64)
     for begin in range(0, len(hashes), 1 << 16):
         part = hashes[begin : begin + (1 << 16)]

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from heliograph.llm import shingle_dedup
+from heliograph.llm import shingle_dedup, simhash_dedup
 
 
 def plain(rows):
@@ -44,6 +44,19 @@ def test_edited_copies_equal_brute_force(spark, edge_rows, corpus, monkeypatch):
         assert {x for x in got if x[0] is not None} == set(plain(rows).items())
 
 
+def test_fingerprints_in_vantage_point_shards_propose(spark, monkeypatch):
+    """Without any band, pairs within three bits that are similar enough are linked, and only those."""
+    monkeypatch.setattr(shingle_dedup, "_bands", lambda grams: np.array([random.getrandbits(62)]))
+    rng, rows = random.Random(9), []
+    for group in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        rows += [(2 * group, " ".join(words)), (2 * group + 1, " ".join([*words[:-1], "other"]))]
+    prints = {i: simhash_dedup.majority(shingle_dedup.shingles(t)) for i, t in rows}
+    close = {i for i in range(0, 80, 2) if (prints[i] ^ prints[i + 1]).bit_count() <= 3}
+    got = {r.doc_id: r.component_id for r in shingle_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(close) > 20 and got == {i: i - 1 if i % 2 and i - 1 in close else i for i, _ in rows}
+
+
 def test_the_stage_drops_edited_copies(spark):
     rows = edited()
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
