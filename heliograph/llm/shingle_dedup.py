@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph.llm import simhash_dedup
-from heliograph.llm.common import components, id_and_text, materialize, release_memory, words_of
+from heliograph.llm.common import components, id_and_text, materialize, release_memory, words_of, worker_cache
 from heliograph.llm.substring_dedup import _mix, word_hashes
 
 SHINGLE = 5
@@ -88,6 +88,8 @@ def _sets(bands: bool):
                     prints.append(simhash_dedup.majority(grams))
             columns = [batch.column(0), _longs(keys), pa.array(values, kinds[2][1])]
             yield pa.RecordBatch.from_arrays([*columns, _longs(prints)] if bands else columns, [*(k for k, _ in kinds), *(["fp"] if bands else [])])
+        # Later stages take other workers' functions: the words' hashes need not stay.
+        worker_cache().pop("word_hashes", None)
         release_memory()
 
     return run
