@@ -20,7 +20,6 @@ comes together, and Newton steps go over these counts.  So are the letters.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import id_and_text, materialize, shared, words_of
-from heliograph.llm.substring_dedup import word_hashes
+from heliograph.llm.common import id_and_text, materialize, shared
 
 BITS = 10
 #: Bits of the tables of the two hashed contexts: a slot for 16 training tokens, between these bounds.
-#: At the upper one a worker's tables take 45 MB; beyond it contexts share slots, as the README measures.
+#: At the upper one a worker's tables take 70 MB; beyond it contexts share slots, as the README measures.
 MIN_SLOT_BITS, MAX_SLOT_BITS = 18, 22
 COMMON = 256
 #: Words whose counts are broadcast at most (12 bytes each); the counts of all others are joined.
@@ -58,6 +56,7 @@ CODES = (LEVELS, 3 * LEVELS, 4 * LEVELS, LEVELS)
 CELLS = math.prod(CODES)
 #: Weights that the fit starts from, by context, where its counts are many.
 START = (0.12, 0.4, 0.75, 0.55)
+SLOT = np.dtype([("stretch", np.float32), ("known", np.int32)])
 _PHI, _M = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
@@ -89,28 +88,60 @@ def train_rows(df: DataFrame, parts: int, held: int) -> DataFrame:
     return df.withColumn("held_out", F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % parts == held)
 
 
-def _token_slices(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, list[bytes]]]:
-    """Row numbers, lengths with the end counted, all token hashes and all tokens, some SLICE_TOKENS at a time."""
-    rows, lengths, tokens = [], [], []
-    for row, text in enumerate(texts):
-        words = words_of(text, lower=True)
-        words.append(END)
-        rows.append(row)
-        lengths.append(len(words))
-        tokens += words
-        if len(tokens) >= SLICE_TOKENS:
-            yield rows, np.array(lengths), word_hashes(tokens), tokens
-            rows, lengths, tokens = [], [], []
-    if rows:
-        yield rows, np.array(lengths), word_hashes(tokens), tokens
+class Tokens:
+    """The tokens of a batch of texts: distinct ones with their hashes, and of each text's tokens the numbers of those.
+
+    Texts lie by length, so that those which are scored side by side end together.
+    """
+
+    def __init__(self, texts: pa.Array):
+        import pyarrow.compute as pc
+        import xxhash
+
+        # Only A-Z is lowered, and only ASCII white space cuts: as `words_of`, but by batch.
+        cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        ends = cut.offsets.to_numpy().astype(np.int64)
+        coded = pc.dictionary_encode(cut.values.slice(ends[0], ends[-1] - ends[0]))
+        met, at = coded.dictionary, coded.indices.to_numpy()
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(met)], pa.int32()), met.cast(pa.binary())), pa.scalar(END, pa.binary()))[0]
+        self.words: list[bytes] = joined.as_py().split(END) if len(met) else []
+        self.words.append(END)
+        row = np.repeat(np.arange(len(texts)), np.diff(ends))
+        if b"" in self.words:  # white space at a text's begin or end leaves an empty piece
+            full = at != self.words.index(b"")
+            at, row = at[full], row[full]
+        lengths = np.bincount(row, minlength=len(texts)) + 1
+        self.rows = np.argsort(lengths, kind="stable")
+        self.lengths = lengths[self.rows]
+        shift = np.empty(len(texts), np.int64)
+        shift[self.rows] = np.cumsum(self.lengths) - self.lengths
+        shift -= np.cumsum(lengths - 1) - (lengths - 1)
+        self.tokens = np.full(len(at) + len(texts), len(self.words) - 1, np.int64)
+        self.tokens[np.arange(len(at)) + shift.take(row)] = at
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), np.uint64, len(self.words))
+
+    def slices(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row numbers, lengths with the end counted, and tokens, some SLICE_TOKENS at a time."""
+        ends, row = np.cumsum(self.lengths), 0
+        while row < len(ends):
+            begin = ends[row] - self.lengths[row]
+            to = min(len(ends), int(np.searchsorted(ends, begin + SLICE_TOKENS)) + 1)
+            yield self.rows[row:to], self.lengths[row:to], self.tokens[begin : ends[to - 1]]
+            row = to
 
 
 def _fold(h: np.ndarray) -> np.ndarray:
     return ((h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 
 
-def context_slots(h: np.ndarray, lengths: np.ndarray, common: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """For each context a base value of every token, and the tokens' bucket codes."""
+def common_places(h: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The place of each hash among the common words, COMMON for others."""
+    place = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
+    return np.where(common[place] == h, place, COMMON) if len(common) else np.full(len(h), COMMON)
+
+
+def context_slots(h: np.ndarray, lengths: np.ndarray, common: np.ndarray, place: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each context a base value of every token, and the tokens' bucket codes; `place` is `common_places`, where known."""
     ends = np.cumsum(lengths)
     first = np.zeros(len(h), bool)
     first[np.concatenate(([0], ends[:-1]))] = True
@@ -118,10 +149,9 @@ def context_slots(h: np.ndarray, lengths: np.ndarray, common: np.ndarray) -> tup
     one[first] = 1
     two = np.concatenate((one[:1], one[:-1])).copy()
     two[first] = 2
-    place = np.minimum(np.searchsorted(common, h), max(0, len(common) - 1))
-    is_common = common[place] == h if len(common) else np.zeros(len(h), bool)
+    place = common_places(h, common) if place is None else place
     # The last common word before each token, within its text.
-    at = np.where(is_common, np.arange(len(h)), -1)
+    at = np.where(place < COMMON, np.arange(len(h)), -1)
     last = np.concatenate(([-1], np.maximum.accumulate(at)[:-1]))
     begin = np.repeat(ends - lengths, lengths)
     topic = np.where(last >= begin, place[np.maximum(last, 0)], COMMON).astype(np.uint32)
@@ -140,29 +170,30 @@ def _count_words():
     """Rows of kind 0: words and their counts; of kind 1: pairs of bytes and theirs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        seen: Counter[bytes] = Counter()
         pairs = np.zeros(1 << 16, np.int64)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def flush():
-            words, times = list(seen), np.fromiter(seen.values(), np.int64, len(seen))
-            pairs[:] += letter_pairs(words, times)
-            out = rows(0, np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)).view(np.int64), times)
-            seen.clear()
-            return out
+        def summed():
+            h, place = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            return h, np.bincount(place, weights=np.concatenate([c for _, c in held]), minlength=len(h)).astype(np.int64)
 
         def rows(kind: int, h: np.ndarray, c: np.ndarray):
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h), pa.array(c)], ["kind", "h", "c"])
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), kind, np.int32)), pa.array(h.view(np.int64)), pa.array(c)], ["kind", "h", "c"])
 
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                seen.update(words_of(text, lower=True))
-                seen[END] += 1
-            if len(seen) > 300_000:
-                yield flush()
-        if seen:
-            yield flush()
+            if not batch.num_rows:
+                continue
+            met = Tokens(batch.column(1))
+            times = np.bincount(met.tokens, minlength=len(met.words))
+            pairs += letter_pairs(met.words, times)
+            used = times > 0
+            held.append((met.hashes[used], times[used]))
+            if sum(len(h) for h, _ in held) > 900_000:
+                held = [summed()]
+                if len(held[0][0]) > 300_000:
+                    yield rows(0, *held.pop())
+        if held:
+            yield rows(0, *summed())
         met = np.flatnonzero(pairs)
         yield rows(1, met, pairs[met])
 
@@ -177,15 +208,20 @@ def _count_bits(common: np.ndarray, layout: Layout):
         leaves = np.zeros((COMMON + 1) << BITS, np.uint32)
         used = False
         for batch in batches:
-            for _, lengths, h, _ in _token_slices(batch.column(1).to_pylist()):
+            met = Tokens(batch.column(1))
+            place = common_places(met.hashes, common)
+            for _, lengths, tokens in met.slices():
                 used = True
-                bases, code = context_slots(h, lengths, common)
+                bases, code = context_slots(met.hashes.take(tokens), lengths, common, place.take(tokens))
                 np.add.at(leaves, (bases[3].astype(np.int64) << BITS) + code, np.uint32(1))
-                node = np.ones(len(h), np.uint32)
+                node, once = np.ones(len(code), np.uint32), np.ones(len(code), np.uint32)
                 for level in range(BITS):
                     bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
                     for c in (1, 2):
-                        np.add.at(table, 2 * layout.slot(c, bases[c], node) + bit, np.uint32(1))
+                        at = layout.slot(c, bases[c], node)
+                        at <<= 1
+                        at += bit
+                        np.add.at(table, at, once)
                     node = node * np.uint32(2) + bit
         # The other two contexts have a place for every code: their nodes are sums of those.
         for c, own in ((0, leaves.reshape(-1, 1 << BITS).sum(0, dtype=np.uint32)[None, :]), (3, leaves.reshape(-1, 1 << BITS))):
@@ -234,9 +270,11 @@ def _count_cells(common: np.ndarray, layout: Layout, get):
 
         codes, cells, used = get(), np.zeros(CELLS, np.uint32), False
         for batch in batches:
-            for _, lengths, h, _ in _token_slices(batch.column(1).to_pylist()):
+            met = Tokens(batch.column(1))
+            place = common_places(met.hashes, common)
+            for _, lengths, tokens in met.slices():
                 used = True
-                np.add.at(cells, cells_of(codes, layout, *context_slots(h, lengths, common)), np.uint32(1))
+                np.add.at(cells, cells_of(codes, layout, *context_slots(met.hashes.take(tokens), lengths, common, place.take(tokens))), np.uint32(1))
         if used:
             yield from _blocks(cells, TaskContext.get().partitionId() // FAN_IN)
 
@@ -245,14 +283,18 @@ def _count_cells(common: np.ndarray, layout: Layout, get):
 
 def cells_of(codes: np.ndarray, layout: Layout, bases: list[np.ndarray], code: np.ndarray) -> np.ndarray:
     """The cell of every bit of tokens."""
-    node, out = np.ones(len(code), np.uint32), np.zeros((BITS, len(code)), np.int64)
+    node, out = np.ones(len(code), np.uint32), np.zeros((BITS, len(code)), np.int32)
+    said = np.empty(len(code), np.uint8)
     for level in range(BITS):
         bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
         for c in (2, 1, 0, 3):
-            out[level] *= CODES[c]
-            out[level] += codes.take(2 * layout.slot(c, bases[c], node) + bit)
+            at = layout.slot(c, bases[c], node)
+            at <<= 1
+            at += bit
+            out[level] *= np.int32(CODES[c])
+            out[level] += codes.take(at, out=said, mode="clip")
         node = node * np.uint32(2) + bit
-    return out.ravel()
+    return out.ravel().astype(np.int64)
 
 
 def fitted_weights(cells: np.ndarray, rounds: int = 30) -> np.ndarray:
@@ -314,7 +356,8 @@ class Model:
     def __init__(self, tokens: int, distinct: int, head: np.ndarray, head_counts: np.ndarray, buckets: np.ndarray, common: np.ndarray, counts: np.ndarray, layout: Layout, pairs: Sequence[int] = (), weights: np.ndarray | None = None):
         self.tokens, self.distinct, self.head, self.head_counts, self.common, self.layout = tokens, distinct, head, head_counts, common, layout
         self.bucket_cost = np.log10(buckets + 1.0)
-        self.stretch, self.known = np.empty(layout.total, np.float32), np.empty(layout.total, np.uint8)
+        # What a slot says and how well it is known lie side by side: one look-up brings both.
+        self.slots = np.zeros(layout.total, SLOT)
         for begin in range(0, layout.total, 1 << 20):
             zero, one = (counts[2 * begin + k : 2 * begin + (2 << 20) : 2].astype(np.float32) for k in (0, 1))
             self.stretch[begin : begin + (1 << 20)] = np.log(one + np.float32(0.4)) - np.log(zero + np.float32(0.4))
@@ -322,6 +365,14 @@ class Model:
         self.weights = _start_weights() if weights is None else weights
         self.letters = _letters(pairs)
 
+    @property
+    def stretch(self) -> np.ndarray:
+        return self.slots["stretch"]
+
+    @property
+    def known(self) -> np.ndarray:
+        return self.slots["known"]
+
     def spelling(self, words: list[bytes]) -> np.ndarray:
         """Log10 probability of the bytes of words, an end after each, under the letter table."""
         if not words:
@@ -355,13 +406,15 @@ def places() -> np.ndarray:
     return (np.arange(PLACES, dtype=np.float32) - np.float32(PLACES / 2 - 0.5)).astype(np.float32)
 
 
-def bit_scores(model: Model, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def bit_scores(model: Model, h: np.ndarray, lengths: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
     """Log10 probability of the tokens' bits, by text.
 
     Texts go side by side, chunk after chunk, the longest first: the chunks of
-    one step lie together, so that a step works on views.
+    one step lie together, so that a step works on views.  Within a step the
+    first tokens of all texts come first, then the second ones: neighbours
+    belong to different texts, and sums by text don't wait for each other.
     """
-    bases, code = context_slots(h, lengths, model.common)
+    bases, code = context_slots(h, lengths, model.common, common)
     order = np.argsort(-lengths, kind="stable")
     rank = np.empty(len(lengths), np.int64)
     rank[order] = np.arange(len(lengths))
@@ -370,7 +423,8 @@ def bit_scores(model: Model, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     live = np.searchsorted(-chunks, -np.arange(steps), side="left")  # texts with more than so many chunks
     offset = np.concatenate(([0], np.cumsum(live)))
     within = np.arange(len(h)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    place = (offset[within // CHUNK] + np.repeat(rank, lengths)) * CHUNK + within % CHUNK  # of each token in the padded layout
+    step, inner = within // CHUNK, within % CHUNK
+    place = offset[step] * CHUNK + inner * live[step] + np.repeat(rank, lengths)  # of each token in the padded layout
     padded = int(offset[-1]) * CHUNK
     # Tokens move to their places once; what lies between texts counts for nothing (sign 0).
     def placed(values: np.ndarray) -> np.ndarray:
@@ -379,64 +433,79 @@ def bit_scores(model: Model, h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return out
 
     there, code, bases = placed(np.ones(len(h), np.float32)), placed(code), [bases[0], *map(placed, bases[1:])]
-    owner = np.repeat(np.arange(int(offset[-1])) - np.repeat(offset[:-1], live), CHUNK).astype(np.int32)
+    owner = np.concatenate([np.tile(np.arange(n, dtype=np.int32), CHUNK) for n in live.tolist()]) if steps else np.zeros(0, np.int32)
     x = np.empty((CONTEXTS, BITS, padded), np.float32)
     sign = np.empty((BITS, padded), np.float32)
     gate = np.empty((BITS, padded), np.int32)
     own = np.empty((2, BITS, padded), np.int32)  # places in the texts' own tables
-    node = np.ones(padded, np.uint32)
+    node, both = np.ones(padded, np.uint32), np.empty(padded, np.int64)
+    met = both.view(SLOT)
     for level in range(BITS):
         bit = (code >> np.uint32(BITS - 1 - level)) & np.uint32(1)
         sign[level] = (2 * bit.astype(np.float32) - 1) * there
         np.multiply(owner, GATES, out=gate[level])
         for c in range(CONTEXTS):
             slot = model.layout.slot(c, bases[c], node)
-            model.stretch.take(slot, out=x[c, level], mode="clip")
+            model.slots.view(np.int64).take(slot, out=both, mode="clip")
+            x[c, level] = met["stretch"]
             if c == 1:
-                gate[level] += np.minimum(model.known.take(slot), 2)
+                gate[level] += np.minimum(met["known"], 2)
                 own[1, level] = owner * OWN + (slot & (OWN - 1))
             elif c == 2:
-                gate[level] += 3 * model.known.take(slot)
+                gate[level] += 3 * met["known"]
         own[0, level] = (owner << BITS) + node.view(np.int32)
         node = node * np.uint32(2) + bit
     weights = np.ascontiguousarray(np.tile(model.weights, (len(lengths), 1)).T)
     learnt = np.zeros(len(lengths) << BITS, np.float32), np.zeros(len(lengths) * OWN, np.float32)
     last = np.tile(places(), len(lengths) * BITS)
-    floors = (np.arange(BITS, dtype=np.int32) * PLACES)[:, None]
+    floors = (np.arange(BITS) * PLACES)[:, None, None]
     score = np.zeros(len(lengths))
     for step in range(steps):
         n, part = int(live[step]), slice(offset[step] * CHUNK, offset[step + 1] * CHUNK)
-        g, s = gate[:, part], sign[:, part]
+        g, s = gate[:, part].astype(np.intp), sign[:, part]
+        mine = [own[c, :, part].astype(np.intp) for c in range(2)]
         now = [x[c, :, part] for c in range(CONTEXTS)]
         if step:
-            now[0] = now[0] + learnt[0].take(own[0, :, part])
-            now[1] = now[1] + learnt[1].take(own[1, :, part])
-        mixed = weights[0].take(g) * now[0]
+            now[0] = now[0] + learnt[0].take(mine[0], mode="clip")
+            now[1] = now[1] + learnt[1].take(mine[1], mode="clip")
+        mixed = weights[0].take(g, mode="clip") * now[0]
         for c in range(1, CONTEXTS):
-            mixed += weights[c].take(g) * now[c]
-        np.clip(mixed, -11.9, 11.9, out=mixed)
-        at = (mixed + np.float32(PLACES / 2)).astype(np.int32)
-        at += floors
-        at += (np.repeat(np.arange(n, dtype=np.int32), CHUNK) * (BITS * PLACES))[None, :]
+            term = weights[c].take(g, mode="clip")
+            term *= now[c]
+            mixed += term
+        np.clip(mixed, np.float32(-11.9), np.float32(11.9), out=mixed)
+        at = (mixed + np.float32(PLACES / 2)).astype(np.intp).reshape(BITS, CHUNK, n)
+        at += floors + np.arange(n) * (BITS * PLACES)
+        at = at.reshape(BITS, -1)
         # Between what the mixer says and what came of it so far.
-        mixed += last.take(at)
+        mixed += last.take(at, mode="clip")
         mixed *= np.float32(0.5)
         mixed *= s
-        right = 1 / (1 + np.exp(-mixed))  # probability of the bit that came
-        filled = np.abs(s)
-        score[:n] += (np.log(right) * filled).reshape(BITS, n, CHUNK).sum((0, 2), dtype=np.float64)
+        np.negative(mixed, out=mixed)
+        right = np.exp(mixed, out=mixed)  # probability of the bit that came
+        right += 1
+        np.reciprocal(right, out=right)
+        # Four bits to a logarithm, and two: no such product is too small for a float.
+        two = right[: BITS // 2] * right[BITS // 2 :]
+        logs = np.log(two[:2] * two[2:4]).sum(0) + np.log(two[4])
+        score[:n] += (logs * there[part]).reshape(CHUNK, n).sum(0, dtype=np.float64)
         if step + 1 == steps:
             break
         # Texts that go on learn from this chunk.
-        more = int(live[step + 1]) * CHUNK
-        miss = ((1 - right) * s)[:, :more]
-        flat, many = g[:, :more].ravel(), int(live[step + 1]) * GATES
+        more = int(live[step + 1])
+
+        def on(values: np.ndarray) -> np.ndarray:
+            return values if more == n else values.reshape(BITS, CHUNK, n)[:, :, :more]
+
+        miss = on((1 - right) * s)
+        flat = on(g).ravel()
         for c in range(CONTEXTS):
-            weights[c, :many] += RATE * np.bincount(flat, weights=(miss * now[c][:, :more]).ravel(), minlength=many)
+            weights[c, : more * GATES] += RATE * np.bincount(flat, weights=(miss * on(now[c])).ravel(), minlength=more * GATES)
         err = miss.ravel()
-        np.add.at(learnt[0], own[0, :, part][:, :more].ravel(), LEARN * err)
-        np.add.at(learnt[1], own[1, :, part][:, :more].ravel(), LEARN * err)
-        np.add.at(last, at[:, :more].ravel(), REFINE * err)
+        learn = LEARN * err
+        for table, where in zip(learnt, mine):
+            np.add.at(table, on(where).ravel(), learn)
+        np.add.at(last, on(at).ravel(), REFINE * err)
     out = np.zeros(len(lengths))
     out[order] = score / math.log(10)
     return out
@@ -451,25 +520,28 @@ def _score(get):
 
         model: Model = get()
         for batch in batches:
-            ids, texts, held = (batch.column(i).to_pylist() for i in range(3))
-            for rows, lengths, h, words in _token_slices(texts):
-                bits = bit_scores(model, h, lengths)
-                at = np.minimum(np.searchsorted(model.head, h), max(0, len(model.head) - 1))
-                in_head = model.head[at] == h if len(model.head) else np.zeros(len(h), bool)
-                cost = np.where(in_head, np.log10(model.head_counts[at] + 1.0) if len(model.head) else 0.0, 0.0)
-                bucket = model.bucket_cost[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]
-                spelt = np.zeros(len(h))
-                away = np.flatnonzero(~in_head)
-                spelt[away] = model.spelling([words[i] for i in away.tolist()])
+            met = Tokens(batch.column(1))
+            raws = [raw or b"" for raw in batch.column(1).cast(pa.binary()).to_pylist()]
+            ids, held = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            # What a token costs is looked up once for each distinct one of the batch.
+            at = np.minimum(np.searchsorted(model.head, met.hashes), max(0, len(model.head) - 1))
+            heads = model.head[at] == met.hashes if len(model.head) else np.zeros(len(at), bool)
+            costs = np.where(heads, np.log10(model.head_counts[at] + 1.0) if len(model.head) else 0.0, 0.0)
+            buckets = model.bucket_cost[(met.hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+            place = common_places(met.hashes, model.common)
+            spelt, away = np.zeros(len(at)), np.flatnonzero(~heads)
+            spelt[away] = model.spelling([met.words[i] for i in away.tolist()])
+            for rows, lengths, tokens in met.slices():
+                bits = bit_scores(model, met.hashes.take(tokens), lengths, place.take(tokens))
+                in_head, cost, bucket = heads.take(tokens), costs.take(tokens), buckets.take(tokens)
                 ends = np.cumsum(lengths)
                 begins = ends - lengths
                 out = []
-                for i, row in enumerate(rows):
+                for i, row in enumerate(rows.tolist()):
                     part = slice(begins[i], ends[i])
-                    mine = begins[i] + np.flatnonzero(~in_head[part])
-                    tail, first, times = np.unique(h[mine], return_index=True, return_counts=True)
-                    raw = (texts[row] or "").encode()
-                    out.append((ids[row], xxhash.xxh3_64_intdigest(raw) & 0x7FFFFFFFFFFFFFFF, held[row], len(raw), int(lengths[i]), int(in_head[part].sum()), float(cost[part].sum()), float(bits[i] - bucket[part].sum()), tail.view(np.int64), times, spelt[mine[first]]))
+                    mine, times = np.unique(tokens[part][~in_head[part]], return_counts=True)
+                    raw = raws[row]
+                    out.append((ids[row], xxhash.xxh3_64_intdigest(raw) & 0x7FFFFFFFFFFFFFFF, held[row], len(raw), int(lengths[i]), int(in_head[part].sum()), float(cost[part].sum()), float(bits[i] - bucket[part].sum()), met.hashes[mine].view(np.int64), times, spelt[mine]))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names)
 
     return run

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from heliograph.llm import lm_scoring as lm
@@ -100,6 +101,40 @@ def test_scores_do_not_depend_on_the_batch():
     assert np.allclose(together, [lm.bit_scores(model, t, np.array([len(t)]))[0] for t in texts], rtol=1e-5)
 
 
+def test_tokens_of_a_batch_are_the_words_of_its_texts():
+    """White space of ASCII only, at both ends too; only A-Z lowered; nulls and empty texts; a batch that is part of an array."""
+    import xxhash
+
+    odd = [" Aa\x0bbB\x0c\tc \r\n", "", None, "  \n ", "\u00c4b\u00a0c\u2003D \x1cq\x85 \u0130", "\x00A b\x00", "x", "\U0001f600 X x " * 30]
+    for texts in (odd, [], [None], odd[::-1] * 3):
+        for column in (pa.array(texts, pa.string()), pa.array(["cut off", *texts], pa.string())[1:], pa.array(texts, pa.large_string())):
+            met = lm.Tokens(column)
+            got = {}
+            for rows, lengths, tokens in met.slices():
+                for row, part in zip(rows.tolist(), np.split(tokens, np.cumsum(lengths)[:-1])):
+                    got[row] = [met.words[i] for i in part]
+            assert [got[i] for i in range(len(texts))] == [words_of(t, lower=True) + [b"\n"] for t in texts]
+            assert met.hashes.tolist() == [xxhash.xxh3_64_intdigest(w) for w in met.words] and len(set(met.words)) == len(met.words)
+
+
+def test_texts_scored_side_by_side_end_together(monkeypatch):
+    """Long texts share slices, so that not every slice takes the steps of a long one; the scores come back to their rows."""
+    rng = np.random.default_rng(9)
+    sizes = [1000 if i % 40 == 0 else 200 for i in range(400)]
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 90, n)) for n in sizes]
+    model = model_of(rng.integers(0, 9, 2 * SMALL.total).astype(np.uint32), SMALL)
+    steps, plain_form = [], lm.bit_scores
+    monkeypatch.setattr(lm, "bit_scores", lambda m, h, lengths, *rest: steps.append(-(-int(lengths.max()) // lm.CHUNK)) or plain_form(m, h, lengths, *rest))
+    monkeypatch.setattr(lm, "SLICE_TOKENS", 10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(texts), pa.array([False] * 400)], ["doc_id", "text", "held_out"])
+    got = {r["doc_id"]: r for out in lm._score(lambda: model)(iter([batch])) for r in out.to_pylist()}
+    assert [got[i]["n_tokens"] for i in range(400)] == [n + 1 for n in sizes] and [got[i]["n_bytes"] for i in range(400)] == list(map(len, texts))
+    assert sum(steps) < 150  # in the order of rows: 263
+    h = [lm.Tokens(pa.array([t])) for t in texts[:45]]
+    alone = [plain_form(model, t.hashes.take(t.tokens), t.lengths)[0] for t in h]
+    assert np.allclose([got[i]["bits_cost"] for i in range(45)], alone, rtol=1e-5)
+
+
 def test_tables_grow_with_the_tokens():
     assert [lm.layout_for(n).slot_bits for n in (0, 10**6, 10**7, 10**9)] == [18, 18, 20, 22]
 
