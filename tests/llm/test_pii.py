@@ -1,9 +1,10 @@
+import hashlib
 import random
 import re
 
 from pyspark.sql import functions as F
 
-from heliograph.llm import pii
+from heliograph.llm import pii, queries
 
 
 def plain(text):
@@ -40,6 +41,21 @@ def test_base_spans_equal_the_plain_matcher(spark, edge_docs, corpus):
             assert got == plain(r.text), repr(r.text)[:200]
 
 
+def test_the_query_counts_each_kind_by_itself(spark, tmp_path):
+    """All columns that the contract fixes; texts with other numbers of each kind, failing matches and extra kinds among them."""
+    bits = ("a@b.co", "1.2.3.4", "4111 1111 1111 1111", "+1 (523) 555-1055", "256.1.1.1", "4111-1111-1111-1112", "+12 3", "joe [at] site [dot] org", "555-123-4567", "ssn 123-45-6789")
+    rng = random.Random(3)
+    texts = [None, "", "no data", *bits, *(", ".join(rng.choices(bits, k=rng.randint(2, 9))) for _ in range(200))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_pii(spark, str(tmp_path)).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        spans = plain(texts[r.doc_id])
+        counts = tuple(sum(k == kind for k, _, _ in spans) for kind in ("email", "ip", "card", "phone"))
+        listed = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == counts and r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest(), texts[r.doc_id]
+
+
 def test_extra_spans_and_redaction(spark):
     texts = ['é token = "1eb9c654e721b4f812088970e66a6345cee33dd6" and mail me: joe@site.example.org now', "A plain sentence of words, no data; version 1.2.3.4 here.", None, ""]
     texts += [f'api token = "{random.Random(i).getrandbits(160):040x}" end' for i in range(30)]
